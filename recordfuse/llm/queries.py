@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepieces
+from . import quality, sentencepieces
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +16,13 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return judged.select("doc_id", *quality.BASE_COLUMNS, "kept", "class_distance", "word_distance")
+
+
 QUERIES: dict[str, Query] = {
+    "op7_quality": op7_quality,
     "op6_sentencepiece": op6_sentencepiece,
 }
 
