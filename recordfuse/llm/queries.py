@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sentencepieces
+from . import quality, secrets, sentencepieces
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -23,6 +27,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op7_quality": op7_quality,
+    "op2_secrets": op2_secrets,
     "op6_sentencepiece": op6_sentencepiece,
 }
 
