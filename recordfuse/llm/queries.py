@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secrets, sentencepieces
+from . import neardup, quality, secrets, sentencepieces
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +25,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.BASE_COLUMNS, "kept", "class_distance", "word_distance")
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classify(table(spark, sf_dir, "documents", "doc_id", "text"), words=2)
+
+
 QUERIES: dict[str, Query] = {
     "op7_quality": op7_quality,
     "op2_secrets": op2_secrets,
+    "op8_neardup": op8_neardup,
     "op6_sentencepiece": op6_sentencepiece,
 }
 
