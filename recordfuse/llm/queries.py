@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, quality, secrets, sentencepieces
+from . import decontaminate, neardup, quality, secrets, sentencepieces
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -31,6 +35,7 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op7_quality": op7_quality,
+    "op1_decontaminate": op1_decontaminate,
     "op2_secrets": op2_secrets,
     "op8_neardup": op8_neardup,
     "op6_sentencepiece": op6_sentencepiece,
