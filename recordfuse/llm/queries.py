@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, maintext, neardup, quality, secrets, sentencepieces, toxicity
+from . import decontaminate, maintext, neardup, quality, secrets, sentencepieces, tokencounts, toxicity, warc
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op5_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
@@ -47,6 +55,8 @@ QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secrets": op2_secrets,
     "op8_neardup": op8_neardup,
+    "op3_warc": op3_warc,
+    "op5_tokencounts": op5_tokencounts,
     "op4_maintext": op4_maintext,
     "op10_toxicity": op10_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
