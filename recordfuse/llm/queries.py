@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, maintext, neardup, quality, secrets, sentencepieces, tokencounts, toxicity, warc
+from . import chat, decontaminate, maintext, neardup, quality, secrets, sentencepieces, tokencounts, toxicity, warc
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,11 @@ def op4_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.repair(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return turns.select("conv_id", "turn", "role", "new_role", "done", "cost", F.concat("before", "piece").alias("rendered"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
@@ -58,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op3_warc": op3_warc,
     "op5_tokencounts": op5_tokencounts,
     "op4_maintext": op4_maintext,
+    "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
 }
