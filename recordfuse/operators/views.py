@@ -21,7 +21,7 @@ def degree_text(c: Column) -> Column:
 def search(candidates: DataFrame, query: str) -> DataFrame:
     """Candidates whose name, headline, place or skills hold the query, in any case."""
     q = query.strip().lower()
-    fields = [F.col("full_name"), F.col("headline"), location_text(F.col("location")), F.array_join(F.transform("skills", lambda s: s.name), " ")]
+    fields = [F.col("full_name"), F.col("headline"), location_text(F.col("location")), F.array_join(F.transform("skills", lambda s: s["name"]), " ")]
     hit = F.lit(False)
     for f in fields:
         hit = hit | F.coalesce(F.contains(F.lower(f), F.lit(q)), F.lit(False))
