@@ -53,7 +53,8 @@ def run(spark: SparkSession, inputs: dict[str, str], how: Projection | None = No
         return out
     records = readers.union_sources(found)
     day = F.lit(as_of).cast("date") if as_of else None
-    out.candidates = merge(records, resolve(records), day)
+    # Computed once: the snapshot, the projection and the caller all read it.
+    out.candidates = checkpointed(merge(records, resolve(records), day))
     ts = run_ts or datetime.datetime.now(datetime.UTC).isoformat()
     out.run_id = make_run_id(list(inputs.values()), ts)
     if output:
