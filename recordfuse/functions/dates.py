@@ -41,7 +41,7 @@ def normalize_date(c: Column, parse: bool = True) -> Column:
     plain = F.regexp_replace(F.regexp_replace(t, r"(?i)\bsept\b", "Sep"), r"(?<=[A-Za-z])\.(?=\s)", "")
     known = F.coalesce(
         F.when(t.rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), t), F.when(t.rlike(PRESENT), F.lit("present")), F.when(t.rlike(r"^\d{4}$"), F.concat(t, F.lit("-01"))),
-        *[F.date_format(F.try_to_timestamp(plain, F.lit(f)), "yyyy-MM") for f in FORMS],
+        F.date_format(F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in FORMS]), "yyyy-MM"),
     )
     return F.coalesce(known, _parsed(F.when(~t.rlike(PLAIN) & ~t.rlike(PRESENT), t))) if parse else known
 

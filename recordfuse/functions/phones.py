@@ -14,6 +14,8 @@ CODES = {
     "90": (10, 10), "91": (10, 10), "92": (9, 10), "351": (9, 9), "353": (7, 9), "380": (9, 9), "880": (8, 10), "966": (8, 9), "971": (8, 9), "972": (8, 9),
 }
 NANP = "^[2-9][0-8][0-9][2-9][0-9]{6}$"
+#: The digits of an international number; no calling code begins with another, so at most one branch can fit.
+INTERNATIONAL = "^(?:1[2-9][0-8][0-9][2-9][0-9]{6}|" + "|".join(f"{code}[0-9]{{{least},{most}}}" for code, (least, most) in CODES.items()) + ")$"
 
 
 def normalize_phone(c: Column) -> Column:
@@ -23,10 +25,7 @@ def normalize_phone(c: Column) -> Column:
     digits = F.regexp_replace(core, r"[^0-9]", "")
     plus = raw.startswith("+")
     national = F.when(digits.startswith("1") & (F.length(digits) == 11), F.substring(digits, 2, 10)).otherwise(digits)
-    known = F.when(plus & digits.startswith("1"), F.substring(digits, 2, 20).rlike(NANP))
-    for code, (least, most) in CODES.items():
-        known = known.when(plus & digits.startswith(code), (F.length(digits) - len(code)).between(least, most))
-    e164 = F.when(plus, F.when(F.coalesce(known, F.lit(False)), F.concat(F.lit("+"), digits))).otherwise(F.when(national.rlike(NANP), F.concat(F.lit("+1"), national)))
+    e164 = F.when(plus, F.when(digits.rlike(INTERNATIONAL), F.concat(F.lit("+"), digits))).otherwise(F.when(national.rlike(NANP), F.concat(F.lit("+1"), national)))
     note = (
         F.when(F.coalesce(raw, F.lit("")) == "", "empty_input")
         .when((F.length(digits) < 3) | raw.rlike("[A-Za-z]{3,}(?<!ext)(?<!sion)$"), F.lit("parse_failed:NOT_A_NUMBER"))

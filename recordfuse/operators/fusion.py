@@ -22,63 +22,74 @@ FIELDS = ("full_name", "emails", "phones", "headline", "skills", "linkedin", "gi
 _FACT = "struct<value:string,source:string,method:string,raw:string,confidence:double,job:" + JOB + ",degree:" + DEGREE + ">"
 
 
-def _fact(value: Column, source: Column, method: Column | None = None, raw: Column | None = None, confidence: Column | None = None, job: Column | None = None, degree: Column | None = None) -> Column:
+_ITEM = "struct<field:int,pos:int,value:string,method:string,confidence:double,job:" + JOB + ",degree:" + DEGREE + ">"
+
+
+def _at(*names: str) -> Column:
+    return F.col("f.field").isin(*[FIELDS.index(n) for n in names])
+
+
+def _only(name: str, c: Column) -> Column:
+    return F.when(_at(name), c)
+
+
+def _items() -> Column:
+    """All that a record says, as one list."""
     null = F.lit(None)
-    parts = {"value": value, "source": source, "method": method, "raw": raw, "confidence": confidence, "job": job, "degree": degree}
-    return F.struct(*[(null if c is None else c).alias(n) for n, c in parts.items()]).cast(_FACT)
 
+    def item(field: str, pos, value=null, method=null, confidence=null, job=null, degree=null) -> Column:
+        parts = zip(("field", "pos", "value", "method", "confidence", "job", "degree"), (F.lit(FIELDS.index(field)), pos, value, method, confidence, job, degree), strict=True)
+        return F.struct(*[c.alias(n) for n, c in parts]).cast(_ITEM)
+
+    def listed(column: str, made) -> Column:
+        return F.coalesce(F.transform(column, made), F.array().cast(f"array<{_ITEM}>"))
 
-def _order(best: Column, confidence: Column | None, source_id: Column | None, at: Column, pos: Column) -> Column:
-    zero, none = F.lit(0.0), F.lit("")
-    return F.struct(best.cast("int").alias("rank"), (zero if confidence is None else -confidence).alias("sure"), (none if source_id is None else source_id).alias("id"), at.alias("rec"), pos.cast("int").alias("pos"))
+    zero = F.lit(0)
+    single = [item(n, zero, F.col(f"{n}.value"), F.col(f"{n}.method"), F.col(f"{n}.confidence")) for n in ("full_name", "headline")]
+    single += [item(n, zero, F.col(f"links.{n}")) for n in ("linkedin", "github", "portfolio")] + [item("source", zero, F.col("source_type"))]
+
+    def found(field: str, column: str) -> Column:
+        return listed(column, lambda v, i: item(field, i, v["value"], v["method"], v["confidence"]))
+
+    return F.concat(
+        F.array(*single), found("emails", "emails"), found("phones", "phones"), found("skills", "skills_raw"), listed("links.other", lambda v, i: item("other", i, v)),
+        listed("experience_raw", lambda v, i: item("experience", i, job=v)), listed("education_raw", lambda v, i: item("education", i, degree=v)),
+    )
 
 
 def facts(records: DataFrame, clusters: DataFrame, fuzzy: bool = True, parse_dates: bool = True) -> DataFrame:
-    """(cluster_id, field, key, order, fact); ``field`` is a place in ``FIELDS``."""
+    """(cluster_id, field, key, order, fact); ``field`` is a place in ``FIELDS``. Records are read and joined once, and each
+    rule is applied to the rows of its own field only."""
     joined = records.join(clusters.select("rec_idx", "cluster_id"), "rec_idx")
-    src, at = F.col("source_type"), F.col("rec_idx")
-    out = []
-
-    def scalar(field: str) -> None:
-        v = F.col(field)
-        rows = joined.filter(F.coalesce(v["value"], F.lit("")) != "")
-        fact = _fact(v["value"], src, v["method"], v["value"], combined_confidence(src, v["confidence"]))
-        out.append(rows.select("cluster_id", F.lit(FIELDS.index(field)).alias("field"), F.lit("").alias("key"), _order(rank(src), v["confidence"], F.col("source_id"), at, F.lit(0)).alias("order"), fact.alias("fact")))
-
-    def listed(field: str, column: str, key, confidence=lambda v: v["confidence"], method=lambda v: v["method"], extra: dict | None = None, ranked: bool = True) -> None:
-        rows = joined.select("cluster_id", "rec_idx", "source_type", F.posexplode(column).alias("pos", "v"))
-        for n, c in (extra or {}).items():
-            rows = rows.withColumn(n, c)
-        v = F.col("v")
-        rows = rows.withColumn("key", key).filter("key is not null")
-        fact = _fact(F.col("key"), src, method(v), v["value"], combined_confidence(src, confidence(v)))
-        best = rank(src, field) if ranked else F.lit(0)
-        out.append(rows.select("cluster_id", F.lit(FIELDS.index(field)).alias("field"), "key", _order(best, None, None, at, F.col("pos")).alias("order"), fact.alias("fact")))
-
-    scalar("full_name")
-    listed("emails", "emails", email_key(F.col("v.value")))
-    listed("phones", "phones", F.col("n.e164"), lambda v: v["confidence"] * F.col("n.confidence"), lambda v: F.lit("regex"), {"n": normalize_phone(F.col("v.value"))})
-    scalar("headline")
-    listed("skills", "skills_raw", F.coalesce(canonical_skill(F.col("v.value"), fuzzy), none_if_empty(trimmed(F.col("v.value")))))
-    for name in ("linkedin", "github", "portfolio"):
-        v = F.col(f"links.{name}")
-        out.append(joined.filter(F.coalesce(v, F.lit("")) != "").select("cluster_id", F.lit(FIELDS.index(name)).alias("field"), F.lit("").alias("key"), _order(F.lit(0), None, None, at, F.lit(0)).alias("order"), _fact(v, src).alias("fact")))
-    plain = lambda column: joined.select("cluster_id", "rec_idx", "source_type", F.posexplode(column).alias("pos", "v"))
-    first = _order(F.lit(0), None, None, at, F.col("pos"))
-    out.append(plain("links.other").filter("v is not null").select("cluster_id", F.lit(FIELDS.index("other")).alias("field"), F.col("v").alias("key"), first.alias("order"), _fact(F.col("v"), src).alias("fact")))
-
-    pair = lambda a, b: F.concat_ws("\u0001", F.lower(F.coalesce(a, F.lit(""))), F.lower(F.coalesce(b, F.lit(""))))
-    dated = plain("experience_raw").withColumns({"s": normalize_date(F.col("v.start"), parse_dates), "e": normalize_date(F.col("v.end"), parse_dates)})
-    jobs = dated.withColumn("d", ordered(F.col("s"), F.col("e"))).withColumn("key", pair(F.col("v.company"), F.col("v.title"))).filter("key <> '\u0001'")
-    job = F.struct(F.col("v.company").alias("company"), F.col("v.title").alias("title"), F.col("d.start").alias("start"), F.col("d.end").alias("end"), F.col("v.summary").alias("summary"))
-    out.append(jobs.select("cluster_id", F.lit(FIELDS.index("experience")).alias("field"), "key", first.alias("order"), _fact(F.lit(None), src, job=job).alias("fact")))
-    schools = plain("education_raw").withColumn("key", pair(F.col("v.institution"), F.col("v.degree"))).filter("key <> '\u0001'")
-    out.append(schools.select("cluster_id", F.lit(FIELDS.index("education")).alias("field"), "key", first.alias("order"), _fact(F.lit(None), src, degree=F.col("v")).alias("fact")))
-    out.append(joined.select("cluster_id", F.lit(FIELDS.index("source")).alias("field"), at.cast("string").alias("key"), _order(F.lit(0), None, None, at, F.lit(0)).alias("order"), _fact(src, src).alias("fact")))
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionByName(more)
-    return rows
+    rows = joined.select("cluster_id", "rec_idx", "source_type", "source_id", F.explode(_items()).alias("f"))
+    src, at, v = F.col("source_type"), F.col("rec_idx"), F.col("f.value")
+    skill = _only("skills", v)
+    rows = rows.withColumns({
+        "phone": normalize_phone(_only("phones", v)), "start": normalize_date(F.col("f.job.start"), parse_dates), "end": normalize_date(F.col("f.job.end"), parse_dates),
+        "skill": F.coalesce(canonical_skill(skill, fuzzy), none_if_empty(trimmed(skill))),
+    })
+    pair = lambda a, b: F.nullif(F.concat_ws("\u0001", F.lower(F.coalesce(a, F.lit(""))), F.lower(F.coalesce(b, F.lit("")))), F.lit("\u0001"))
+    key = (
+        F.when(_at("full_name", "headline", "linkedin", "github", "portfolio"), F.when(F.coalesce(v, F.lit("")) != "", F.lit("")))
+        .when(_at("emails"), email_key(v)).when(_at("phones"), F.col("phone.e164")).when(_at("skills"), F.col("skill")).when(_at("other"), v)
+        .when(_at("experience"), pair(F.col("f.job.company"), F.col("f.job.title"))).when(_at("education"), pair(F.col("f.degree.institution"), F.col("f.degree.degree")))
+        .otherwise(at.cast("string"))
+    )
+    rows = rows.withColumn("key", key).filter("key is not null")
+    ranked, scalar = _at("full_name", "headline", "emails", "phones"), _at("full_name", "headline")
+    order = F.struct(
+        F.when(ranked, rank(src)).when(_at("skills"), rank(src, "skills")).otherwise(0).cast("int").alias("rank"), F.when(scalar, -F.col("f.confidence")).otherwise(0.0).alias("sure"),
+        F.when(scalar, F.col("source_id")).otherwise("").alias("id"), at.alias("rec"), F.col("f.pos").alias("pos"),
+    )
+    dates = ordered(F.col("start"), F.col("end"))
+    job = F.struct(F.col("f.job.company").alias("company"), F.col("f.job.title").alias("title"), dates["start"].alias("start"), dates["end"].alias("end"), F.col("f.job.summary").alias("summary"))
+    sourced = scalar | _at("emails", "phones", "skills")
+    sure = F.when(_at("phones"), F.col("f.confidence") * F.col("phone.confidence")).otherwise(F.col("f.confidence"))
+    fact = F.struct(
+        F.when(_at("emails", "phones", "skills"), F.col("key")).otherwise(v).alias("value"), src.alias("source"), F.when(_at("phones"), "regex").otherwise(F.col("f.method")).alias("method"),
+        F.when(sourced, v).alias("raw"), F.when(sourced, combined_confidence(src, sure)).alias("confidence"), F.when(_at("experience"), job).alias("job"), F.col("f.degree").alias("degree"),
+    ).cast(_FACT)
+    return rows.select("cluster_id", F.col("f.field").alias("field"), "key", order.alias("order"), fact.alias("fact"))
 
 
 def merge(records: DataFrame, clusters: DataFrame, as_of: Column | None = None, fuzzy: bool = True, parse_dates: bool = True, foreign: bool = True) -> DataFrame:

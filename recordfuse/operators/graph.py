@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="recordfuse-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the folder that the session names, or in one of this machine's where it names
-    none, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recordfuse-"))
-    return df.checkpoint()
+    """Computes ``df`` once, as a table in the shared folder that the session names (``spark.checkpoint.dir``), and cuts its
+    lineage; in a folder of this machine where the session names none, as in tests. Readers of the table prune its columns
+    and know its size."""
+    spark = df.sparkSession
+    named = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (named.get() if named.isDefined() else _own_folder())
+    path = f"{folder.rstrip('/')}/recordfuse-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

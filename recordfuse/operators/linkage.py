@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.names import name_key, name_threshold, script_family
 from ..functions.phones import normalize_phone
 from ..functions.text import none_if_empty, trimmed
-from .graph import connected_components
+from .graph import checkpointed, connected_components
 
 
 def email_key(c: Column) -> Column:
@@ -74,10 +74,43 @@ def cluster_id(members: Column) -> Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
+def contact_links(keys: DataFrame, column: str) -> DataFrame:
+    """(a, b): links that connect what the gated pairs of ``shared_key_pairs`` connect, without all pairs. Records with one
+    entry, name and script are a star round the first of them, since the gate lets equal names pass. Between two such groups
+    one link is enough: without a test where a name is unknown or the names are equal, else where names are alike in an order
+    in which some pair of the groups has them. Names that differ under one entry are compared pair by pair."""
+    rows = keys.select("rec_idx", F.coalesce("name_key", F.lit("")).alias("name"), "script", F.explode(column).alias("key"))
+    groups = rows.groupBy("key", "name", "script").agg(F.min("rec_idx").alias("lo"), F.max("rec_idx").alias("hi"))
+    star = rows.join(groups, ["key", "name", "script"]).filter("rec_idx > lo").select(F.col("lo").alias("a"), F.col("rec_idx").alias("b"))
+    one = lambda s: groups.select("key", *[F.col(c).alias(c + s) for c in ("name", "script", "lo", "hi")])
+    pairs = one("a").join(one("b"), "key").filter("loa <> lob").drop("key")
+    free = (F.col("namea") == "") | (F.col("nameb") == "") | (F.col("namea") == F.col("nameb"))
+    tested = pairs.filter(~free & (F.col("loa") < F.col("hib")))
+    scored = tested.select("namea", "nameb").distinct().withColumn("ratio", _similarity("namea", "nameb"))
+    alike = tested.join(scored, ["namea", "nameb"]).filter(F.col("ratio") >= name_threshold(F.col("scripta"), F.col("scriptb")))
+    between = pairs.filter(free & (F.col("loa") < F.col("lob"))).select("loa", "lob").union(alike.select("loa", "lob"))
+    return star.union(between)
+
+
+def name_links(keys: DataFrame) -> DataFrame:
+    """(a, b): links that, with those of both contacts, connect what ``name_pairs`` connects, one per record at most. Records
+    of one name that share an entry are linked by it already; others pair only where neither kind of contact is known to both:
+    with a record that has none, or one that has e-mails only with one that has phones only."""
+    kind = F.when(F.size("emails") > 0, F.when(F.size("phones") > 0, "both").otherwise("emails")).otherwise(F.when(F.size("phones") > 0, "phones").otherwise("none"))
+    rows = keys.filter("name_key is not null").select("rec_idx", "name_key", kind.alias("kind"))
+    first = lambda k: F.min(F.when(F.col("kind") == k, F.col("rec_idx"))).alias(k)
+    blocks = rows.groupBy("name_key").agg(first("none"), first("emails"), first("phones"))
+    other = F.when(F.col("kind") == "emails", F.col("phones")).when(F.col("kind") == "phones", F.col("emails"))
+    hubs = rows.join(blocks.filter("none is not null or (emails is not null and phones is not null)"), "name_key")
+    return hubs.select(F.coalesce("none", other).alias("a"), F.col("rec_idx").alias("b")).filter("a <> b")
+
+
 def resolve(records: DataFrame, foreign: bool = True) -> DataFrame:
-    """(rec_idx, cluster_id, root): ``root`` is the smallest index of the cluster. A conflict keeps two records from a
-    direct link only; a third may still join them."""
+    """(rec_idx, cluster_id, root): ``root`` is the smallest index of the cluster, which is a component of ``edges``. A
+    conflict keeps two records from a direct link only; a third may still join them. Keys are computed once and written."""
     keys = record_keys(records, foreign)
-    found = connected_components(records.select(F.col("rec_idx").alias("id")), edges(keys))
+    keys = checkpointed(keys.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("emails", "phones")}))
+    links = contact_links(keys, "emails").union(contact_links(keys, "phones")).union(name_links(keys))
+    found = checkpointed(connected_components(keys.select(F.col("rec_idx").alias("id")), links))
     ids = found.groupBy("component").agg(cluster_id(F.collect_list(F.col("id").cast("string"))).alias("cluster_id"))
     return found.join(ids, "component").select(F.col("id").alias("rec_idx"), "cluster_id", F.col("component").alias("root"))
