@@ -52,9 +52,9 @@ people as (
     list_extract({_list(LAST)}, ((c_custkey // 6) % 8 + 1)::int) || chr((97 + (c_custkey // 48) % 26)::int) || chr((97 + (c_custkey // 1248) % 26)::int) as last from customer))"""
 
 
-def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+def csv_source(spark: SparkSession, sf_dir: str, everyone: DataFrame | None = None) -> DataFrame:
     """Every third person as a row of a delimited file: capitals, a suffix, spaces, no skills."""
-    p = people(spark, sf_dir).filter("c % 3 = 0")
+    p = (people(spark, sf_dir) if everyone is None else everyone).filter("c % 3 = 0")
     rows = p.select(
         F.col("c").alias("rec_idx"), F.concat(F.lit(" "), F.upper("name"), F.lit(" JR.")).alias("Full_Name"), F.concat(F.upper("email"), F.lit(" ")).alias("e-mail"),
         F.col("phone").alias("mobile"), F.lit("").alias("company"), F.col("employer").alias("Employer"), F.when(F.col("c") % 2 == 0, F.col("role")).alias("job_title"), F.lit("x").alias("unknown"),
@@ -62,13 +62,14 @@ def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_records(rows, F.concat(F.lit("recruiter.csv:row"), F.col("rec_idx").cast("string")))
 
 
-def ats_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = people(spark, sf_dir)
+def ats_source(spark: SparkSession, sf_dir: str, everyone: DataFrame | None = None) -> DataFrame:
+    p = people(spark, sf_dir) if everyone is None else everyone
     return ats_records(p.select(F.col("c").alias("rec_idx"), F.concat(F.lit("ats.json:item"), F.col("c").cast("string")).alias("source_id"), "name", "email", "phone", "role", "employer", F.lit(None).cast("string").alias("summary"), "skills", "start", "end"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return union_sources([csv_source(spark, sf_dir), ats_source(spark, sf_dir)])
+    everyone = people(spark, sf_dir)
+    return union_sources([csv_source(spark, sf_dir, everyone), ats_source(spark, sf_dir, everyone)])
 
 
 #: What the two sources hold, in SQL; ``idx`` is rec_idx.
@@ -86,7 +87,6 @@ keys as (
 )
 
 
-def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A given clustering for fusion: people with one number modulo 1000 are one."""
-    rows = records(spark, sf_dir).select("rec_idx")
-    return rows.select("rec_idx", F.concat(F.lit("k"), (F.pmod(F.col("rec_idx"), F.lit(1 << 56)) % 1000).cast("string")).alias("cluster_id"))
+def clusters(found: DataFrame) -> DataFrame:
+    """A given clustering of the records for fusion: people with one number modulo 1000 are one."""
+    return found.select("rec_idx", F.concat(F.lit("k"), (F.pmod(F.col("rec_idx"), F.lit(1 << 56)) % 1000).cast("string")).alias("cluster_id"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import none_if_empty, trimmed
+from .text import bound, none_if_empty, trimmed
 
 PRESENT = r"(?i)^(present|current|now|ongoing|till date|to date|today)$"
 #: Forms that need no parser, in the order in which they are tried.
@@ -38,11 +38,13 @@ def _parsed(raw: pd.Series) -> pd.Series:
 def normalize_date(c: Column, parse: bool = True) -> Column:
     """Forms in ``FORMS`` natively; with ``parse`` the rest by a date parser, to which only the rest is sent."""
     t = none_if_empty(trimmed(c))
-    plain = F.regexp_replace(F.regexp_replace(t, r"(?i)\bsept\b", "Sep"), r"(?<=[A-Za-z])\.(?=\s)", "")
-    known = F.coalesce(
-        F.when(t.rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), t), F.when(t.rlike(PRESENT), F.lit("present")), F.when(t.rlike(r"^\d{4}$"), F.concat(t, F.lit("-01"))),
-        F.date_format(F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in FORMS]), "yyyy-MM"),
-    )
+
+    def read(x: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(x, r"(?i)\bsept\b", "Sep"), r"(?<=[A-Za-z])\.(?=\s)", "")
+        formed = bound(plain, lambda p: F.date_format(F.coalesce(*[F.try_to_timestamp(p, F.lit(f)) for f in FORMS]), "yyyy-MM"))
+        return F.coalesce(F.when(x.rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), x), F.when(x.rlike(PRESENT), F.lit("present")), F.when(x.rlike(r"^\d{4}$"), F.concat(x, F.lit("-01"))), formed)
+
+    known = bound(t, read)
     return F.coalesce(known, _parsed(F.when(~t.rlike(PLAIN) & ~t.rlike(PRESENT), t))) if parse else known
 
 
@@ -61,4 +63,5 @@ def ordered(s: Column, e: Column) -> Column:
 def years_between(start: Column, end: Column, as_of: Column | None = None) -> Column:
     day = lambda c: F.try_to_timestamp(F.concat(c, F.lit("-01")), F.lit("yyyy-MM-dd")).cast("date")
     until = F.when(end == "present", F.current_date() if as_of is None else as_of).otherwise(day(end))
-    return F.round(F.greatest(F.datediff(until, day(start)) / F.lit(365.25), F.lit(0.0)), 1)
+    days = F.datediff(until, day(start))
+    return F.when(days.isNotNull(), F.round(F.greatest(days / F.lit(365.25), F.lit(0.0)), 1))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import none_if_empty, trimmed
+from .text import bound, none_if_empty, trimmed
 
 # What is no part of a name's key, and the code ranges of script families.
 SUFFIXES = r"\b(jr|sr|ii|iii|iv|phd|md|esq)\b\.?"
@@ -90,12 +90,15 @@ def display_name(c: Column, foreign: bool = True) -> Column:
 
 def script_family(c: Column) -> Column:
     """The script with most characters; of equals the first of latin, indic_arabic, cjk, unknown; of blank text unknown."""
-    seen = F.regexp_replace(c, r"(?U)\s", "")
-    n = {s: F.length(seen) - F.length(F.regexp_replace(seen, p, "")) for s, p in SCRIPTS.items()}
-    unknown = F.length(seen) - n["latin"] - n["indic_arabic"] - n["cjk"]
-    top = F.greatest(*n.values(), unknown)
-    out = F.when(n["latin"] == top, "latin").when(n["indic_arabic"] == top, "indic_arabic").when(n["cjk"] == top, "cjk").otherwise("unknown")
-    return F.when(F.coalesce(F.length(seen), F.lit(0)) > 0, out).otherwise("unknown")
+    def counts(seen: Column) -> Column:
+        n = [F.length(seen) - F.length(F.regexp_replace(seen, SCRIPTS[s], "")) for s in ("latin", "indic_arabic", "cjk")]
+        return F.struct(F.length(seen).alias("all"), *[x.alias(s) for s, x in zip(("latin", "indic_arabic", "cjk"), n, strict=True)])
+
+    def top(k: Column) -> Column:
+        most = F.greatest(k["latin"], k["indic_arabic"], k["cjk"], k["all"] - k["latin"] - k["indic_arabic"] - k["cjk"])
+        return F.when(F.coalesce(k["all"], F.lit(0)) == 0, "unknown").when(k["latin"] == most, "latin").when(k["indic_arabic"] == most, "indic_arabic").when(k["cjk"] == most, "cjk").otherwise("unknown")
+
+    return bound(bound(F.regexp_replace(c, r"(?U)\s", ""), counts), top)
 
 
 def name_threshold(a: Column, b: Column) -> Column:

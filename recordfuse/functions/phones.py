@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import trimmed
+from .text import bound, trimmed
 
 #: Country calling codes with the least and most digits of a national number.
 CODES = {
@@ -18,22 +18,24 @@ NANP = "^[2-9][0-8][0-9][2-9][0-9]{6}$"
 INTERNATIONAL = "^(?:1[2-9][0-8][0-9][2-9][0-9]{6}|" + "|".join(f"{code}[0-9]{{{least},{most}}}" for code, (least, most) in CODES.items()) + ")$"
 
 
-def normalize_phone(c: Column) -> Column:
-    """struct<e164, confidence, note>. Numbers without a country code are read as North American."""
-    raw = trimmed(c)
-    core = F.regexp_replace(raw, r"(?i)\s*(?:x|ext\.?|extension)\s*\d+$", "")
-    digits = F.regexp_replace(core, r"[^0-9]", "")
+def _judged(raw: Column, digits: Column) -> Column:
     plus = raw.startswith("+")
     national = F.when(digits.startswith("1") & (F.length(digits) == 11), F.substring(digits, 2, 10)).otherwise(digits)
     e164 = F.when(plus, F.when(digits.rlike(INTERNATIONAL), F.concat(F.lit("+"), digits))).otherwise(F.when(national.rlike(NANP), F.concat(F.lit("+1"), national)))
-    note = (
+    bad = (
         F.when(F.coalesce(raw, F.lit("")) == "", "empty_input")
         .when((F.length(digits) < 3) | raw.rlike("[A-Za-z]{3,}(?<!ext)(?<!sion)$"), F.lit("parse_failed:NOT_A_NUMBER"))
         .when(e164.isNull(), "parsed_but_invalid")
-        .otherwise(F.when(plus, "explicit_country_code").otherwise("assumed_region:US"))
     )
-    good = note.isin("explicit_country_code", "assumed_region:US")
-    return F.struct(F.when(good, e164).alias("e164"), F.when(good, F.when(plus, 1.0).otherwise(0.6)).otherwise(0.0).alias("confidence"), note.alias("note"))
+    found = F.struct(e164.alias("e164"), F.when(plus, 1.0).otherwise(0.6).alias("confidence"), F.when(plus, "explicit_country_code").otherwise("assumed_region:US").alias("note"))
+    none = lambda note: F.struct(F.lit(None).cast("string").alias("e164"), F.lit(0.0).alias("confidence"), note.alias("note"))
+    return bound(bad, lambda note: F.when(note.isNull(), found).otherwise(none(note)))
+
+
+def normalize_phone(c: Column) -> Column:
+    """struct<e164, confidence, note>. Numbers without a country code are read as North American."""
+    core = lambda raw: F.regexp_replace(raw, r"(?i)\s*(?:x|ext\.?|extension)\s*\d+$", "")
+    return bound(trimmed(c), lambda raw: bound(F.regexp_replace(core(raw), r"[^0-9]", ""), lambda digits: _judged(raw, digits)))
 
 
 def dedupe_phones(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schema import constant_map
 from ..udfs.wratio import best_match, clean, wratio
 from .text import trimmed
 
@@ -135,7 +136,7 @@ PATTERN = r"(?<![a-z0-9_])(" + "|".join(map(_quoted, sorted(KEYS, key=lambda k:
 
 
 def _map() -> Column:
-    return F.create_map(*[F.lit(x) for pair in KEYS.items() for x in pair])
+    return constant_map(KEYS)
 
 
 def find_skills(c: Column) -> Column:

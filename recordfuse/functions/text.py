@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,12 @@ def none_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``c``, with ``c`` computed once however often ``f`` uses it. It also keeps generated code small. ``f`` must hold
+    no Python function."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def trimmed(c: Column) -> Column:
     """Without white space at either end (``trim`` alone takes spaces)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

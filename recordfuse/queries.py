@@ -307,7 +307,8 @@ _ORDER = _case("src", RANK, 6)
 
 
 def _merged(spark, d) -> DataFrame:
-    return fusion.merge(fx.records(spark, d), fx.clusters(spark, d), F.lit(AS_OF).cast("date"), fuzzy=False)
+    found = fx.records(spark, d)
+    return fusion.merge(found, fx.clusters(found), F.lit(AS_OF).cast("date"), fuzzy=False)
 
 
 @query("a1_full_name", _MERGED + f" select k as candidate_id, arg_min(name, lpad(({_ORDER})::varchar, 2, '0') || sid) as full_name from r group by k")

@@ -38,11 +38,13 @@ def no_values() -> Column:
     return F.array().cast(f"array<{VALUE}>")
 
 
+def constant_map(table: dict) -> Column:
+    """A map literal, parsed in one step rather than put together entry by entry."""
+    return F.expr("map(" + ", ".join(f"{x!r}" if isinstance(x, str) else f"{x}D" if isinstance(x, float) else str(x) for pair in table.items() for x in pair) + ")")
+
+
 def lookup(source: Column, table: dict, other) -> Column:
-    out = F.lit(other)
-    for k, v in table.items():
-        out = F.when(source == k, F.lit(v)).otherwise(out)
-    return out
+    return F.coalesce(F.try_element_at(constant_map(table), source), F.lit(other))
 
 
 def trust(source: Column) -> Column:

@@ -1,6 +1,7 @@
 """Layout, linkage, fusion, projection and whole runs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,28 @@ def test_resolve(spark):
     assert found == [n for _, n in CASES] and len(set(got.values())) == sum(found)
 
 
+def test_resolve_connects_what_all_pairs_do(spark):
+    """Star links against every gated pair, over names and contacts that often meet: equal, alike, far and missing ones."""
+    rng = random.Random(5)
+    names = ("Ann Lee", "Anna Lee", "Lee Ann", "Bo Quist", "Zed Young", "安娜", None)
+    for size in (0, 60, 90):
+        rows = [(rng.choice(names), rng.choice(["a@x.com", "b@x.com", None, None, f"u{i}@x.com"]), rng.choice(["212-555-0123", None, None, f"212-555-{1000 + i}"])) for i in range(size)]
+        found = people(spark, rows) if rows else people(spark, [(None, None, None)]).filter("rec_idx < 0")
+        got = {r.rec_idx: r.root for r in linkage.resolve(found).collect()}
+        pairs = [(r.a, r.b) for r in linkage.edges(linkage.record_keys(found)).collect()]
+        root = {i: i for i in range(size)}
+
+        def top(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+        assert got == {i: top(i) for i in range(size)}
+
+
 def test_components_of_a_long_chain(spark):
     n = 60
     nodes = spark.range(n + 5)
