@@ -359,14 +359,15 @@ def a9(spark, d):
     return fusion.provenance_rows(_merged(spark, d))
 
 
-@query(
-    "a10_overall_confidence",
+_OVERALL = (
     _MERGED
     + ", v as (select k, 0.95::double as c from (select distinct k from r) union all select k, case when min(src) = 'ats_json' then 0.95 else 0.9 end from r where email is not null group by k, lower(email)"
     + " union all select k, case when min(src) = 'ats_json' then 0.57 else 0.54 end from r where phone is not null group by k, phone"
     + f" union all select k, 0.8075 from (select distinct k, {_SKILL_SQL} as n from (select k, unnest(string_split(skills, ',')) as s from r) where trim(s) <> ''))"
-    + " select k as candidate_id, round(round(avg(c), 4), 3) as overall_confidence from v group by k",
 )
+
+
+@query("a10_overall_confidence", _OVERALL + " select k as candidate_id, round(round(avg(c), 4), 3) as overall_confidence from v group by k")
 def a10(spark, d):
     return _merged(spark, d).select("candidate_id", F.round("overall_confidence", 3).alias("overall_confidence"))
 
@@ -403,7 +404,7 @@ def p7(spark, d):
     return views.search(_merged(spark, d), " JAVA").select("candidate_id")
 
 
-@query("a13_summary")
+@query("a13_summary", _OVERALL + ", o as (select round(avg(c), 4) as sure from v group by k) select count(*) as n_candidates, round(avg(sure) * 100)::int as avg_trust, 0::bigint as n_errors, 2::bigint as n_sources from o")
 def a13(spark, d):
     return views.summary(_merged(spark, d), errors=0, sources=2)
 
