@@ -6,6 +6,9 @@ more), ``hex`` (24 or more hexadecimal digits).
 
 The method adds ``random``: tokens of 16 characters or more that pass as random in the encoding they seem to be in.
 
+* Tokens: an equals sign ends a token, and belongs to it only as padding. A token that no encoding fits mixes the signs
+  of base64 with those of base64url; its parts between the ones, between the others and between all of them are tested
+  each. Picked parts that overlap are listed as one span.
 * Encoding: hex, base32, base36, base62, base64 or base64url, by the characters used, when letters and digits mix.
 * Battery under the hypothesis "drawn at random from that alphabet": chi-squared uniformity of the symbols (with the
   exact mean and variance for that length), Wald-Wolfowitz runs above and below the alphabet's middle, and serial
@@ -35,8 +38,10 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
-_TOKEN = "A-Za-z0-9+/_=-"
-TOKEN = f"(?<![{_TOKEN}])[{_TOKEN}]{{16,}}+"
+_TOKEN = "A-Za-z0-9+/_-"
+TOKEN = f"(?<![{_TOKEN}])[{_TOKEN}]{{16,}}+(?:=++(?![{_TOKEN}]))?+"
+#: Parts of a token with signs of both kinds: as base64url, as base64, and without signs.
+PARTS = ("[A-Za-z0-9_-]{16,}+=*+", "[A-Za-z0-9+/]{16,}+=*+", "[A-Za-z0-9]{16,}+=*+")
 
 FDR, ALPHA = 0.01, 0.001
 
@@ -177,6 +182,11 @@ def candidates(text: Column) -> Column:
             e = F.when(body(m).rlike(shape), F.lit(i)).otherwise(e)
         return F.struct(m.start.alias("start"), m.end.alias("end"), body(m).alias("body"), e.alias("encoding"))
 
+    def parts(m: Column) -> Column:
+        inner = F.flatten(F.array(*[spans_of(m.text, p) for p in PARTS]))
+        moved = F.transform(inner, lambda x: F.struct((m.start + x.start).alias("start"), (m.start + x.end).alias("end"), x.text.alias("text")))
+        return F.when(m.text.rlike("[+/]") & m.text.rlike("[_-]"), F.array_distinct(moved)).otherwise(F.array(m))
+
     alphabets = F.array(*[F.lit(a) for _, _, a in ENCODINGS])
     ratios = F.array(*[F.lit(x) for x in _log_ratios()])
     classes = lambda t: F.translate(t, _LOWER + _UPPER + _DIGITS + "+/_=-", "0" * 26 + "1" * 26 + "2" * 10 + "33333")
@@ -195,7 +205,8 @@ def candidates(text: Column) -> Column:
         ratio = F.aggregate(t.classes, first, lambda a, x: F.struct(x.alias("before"), (a["sum"] + F.element_at(ratios, t.encoding * 20 + a["before"] * 4 + x + 1)).alias("sum")))["sum"]
         return F.struct(t.start.alias("start"), t.end.alias("end"), ratio.alias("ratio"), _battery(t).alias("p"))
 
-    tokens = F.filter(F.transform(F.filter(spans_of(text, TOKEN), mixed), infer), lambda t: t.encoding.isNotNull() & (F.length(t.body) >= LENGTHS[0]))
+    found = F.filter(F.flatten(F.transform(F.filter(spans_of(text, TOKEN), mixed), parts)), mixed)
+    tokens = F.filter(F.transform(found, infer), lambda t: t.encoding.isNotNull() & (F.length(t.body) >= LENGTHS[0]))
     return F.transform(F.transform(tokens, numbered), scored)
 
 
@@ -225,6 +236,18 @@ def thresholds(docs: DataFrame, text: str = "text", fdr: float = FDR) -> list[in
     return out
 
 
+def _union(spans: Column) -> Column:
+    """array<struct<start, end>>: those that overlap made one, by start."""
+
+    def add(a: Column, s: Column) -> Column:
+        last = F.try_element_at(a, F.lit(-1))
+        joined = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s.end).alias("end"))))
+        return F.when((F.size(a) > 0) & (s.start < last["end"]), joined).otherwise(F.concat(a, F.array(s)))
+
+    plain = F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end")))
+    return F.when(F.size(spans) > 1, F.aggregate(F.array_sort(plain), F.array().cast("array<struct<start:int,end:int>>"), add)).otherwise(plain)
+
+
 def find(docs: DataFrame, text: str = "text", limits: list[int | None] | None = None) -> DataFrame:
     """``docs`` with ``base_spans`` and ``all_spans``: array<struct<start, kind, end>>, by start, then kind. Two passes
     over the texts, the first for the thresholds."""
@@ -234,7 +257,7 @@ def find(docs: DataFrame, text: str = "text", limits: list[int | None] | None =
     passing = lambda t: (t.p >= ALPHA) & (_cell(t.ratio) >= F.element_at(bound, _length_range(t.end - t.start) + 1))
     scanned = docs.select(*own, base_spans(text_of(text)).alias("_base"), F.filter(candidates(text_of(text)), passing).alias("_found"))
     new = F.filter("_found", lambda t: ~F.exists("_base", lambda b: (b.start <= t.start) & (t.end <= b.end)))
-    random = F.transform(new, lambda t: F.struct(t.start.alias("start"), F.lit(3).alias("kind"), t.end.alias("end")))
+    random = F.transform(_union(new), lambda t: F.struct(t.start.alias("start"), F.lit(3).alias("kind"), t.end.alias("end")))
     return scanned.select(*own, F.col("_base").alias("base_spans"), F.array_sort(F.concat("_base", random)).alias("all_spans"))
 
 

@@ -60,6 +60,26 @@ def test_secrets(spark):
     assert secrets.report(table.limit(0)).count() == 0
 
 
+def test_secrets_beside_signs(spark):
+    key, other = "x7Gh29fKq0ZpLw83NvTs61YbQ4rT", "Zk8-Qw3_pX71vBnM0sRt"
+    cases = {
+        f"AWS_KEY={key}": key, f"sig={key}&v=1": key, f"aws_secret_access_key={key}": key, f"bearer={key}==": key + "==", f"a={key}=b": key, f"home/{other}": other,
+        f"my_key-{key[:14]}/{key[14:]}+9w": f"{key[:14]}/{key[14:]}+9w", f"home/{key}_old-copy": key, f"set {key}== now": key + "==", "build/getUserNameByIdentifier2_old-copy": None,
+    }
+    table = docs(spark, [*cases, *(f"{t} and getUserNameByIdentifier2" for t in cases)])
+    got, texts = {r.doc_id: r for r in secrets.report(table).collect()}, list(cases)
+    for i, (text, secret) in enumerate(cases.items()):
+        spans = [tuple(map(int, x.split(":")[1:])) for x in got[i].spans.split(",") if x]
+        if secret is None:
+            assert not spans
+        else:  # a span may take in more of the token than the secret
+            at = text.index(secret)
+            assert len(spans) == got[i].n_random == 1 and spans[0][0] <= at and spans[0][1] >= at + len(secret), text
+    clean = {r.doc_id: r.text for r in secrets.redact(table).collect()}
+    assert clean[0] == "AWS_KEY=[SECRET]" and clean[1] == "sig=[SECRET]&v=1" and clean[2] == "aws_secret_access_key=[SECRET]" and clean[3] == "bearer=[SECRET]" and clean[5] == "home/[SECRET]"
+    assert not any(key in t or other in t for t in clean.values()) and clean[len(texts) - 1] == texts[-1]
+
+
 def test_warc_round_trip(spark):
     pages = [(3, "u", "x" * 200), (1, None, "x" * 200), (2, "v\r\nw", "x" * 200), (4, "a", "short"), (5, "b", "short"), (6, "c", None), (7, "d", "é" * 5000), (8, "e", "y" * 100), (8, "e", "y" * 100), (None, "n", "x" * 200)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit(1))
