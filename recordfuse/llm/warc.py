@@ -1,7 +1,8 @@
 """Web archives of records that are compressed one by one with a Zstandard dictionary.
 
-A writer task builds the dictionary of its archive from that archive's own records, puts it first, in a skippable frame
-(magic 0x184D2A5D), and writes every record as a frame of its own. Pages with equal payloads of ``MIN_REVISIT`` bytes or more are
+A writer task builds the dictionary of its archive from pieces of that archive's own records, however long these are, puts
+it first, in a skippable frame (magic 0x184D2A5D), and writes every record as a frame of its own. Archives too small or
+too uniform to train on have the dictionary of record heads, the same in every run. Pages with equal payloads of ``MIN_REVISIT`` bytes or more are
 stored once: the one with the smallest id as a response, the others as revisits that refer to it.
 
 Digests, not payloads, are aggregated to find repeats. Archives end after ``ARCHIVE_BYTES`` of payload, so a writer holds
@@ -22,6 +23,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 24 << 20
 DICTIONARY_BYTES, SAMPLE_BYTES, LEVEL = 32 << 10, 1 << 20, 3
+PIECE_BYTES, LEAST_PIECES, LEAST_SAMPLE = 2 << 10, 16, 16 << 10
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -80,22 +83,42 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:size]
 
 
-def build_dictionary(records: list[bytes]) -> bytes:
-    """From records spread evenly over the archive, ``SAMPLE_BYTES`` of them; empty where they are too few to train on.
-    (Only how small the archive gets depends on it.)"""
+def pieces(records: list[bytes]) -> list[bytes]:
+    """Stretches of ``PIECE_BYTES`` from all of the records, long ones too, spread evenly: ``SAMPLE_BYTES`` of them, or all."""
+    places = [(i, at) for i, r in enumerate(records) for at in range(0, len(r), PIECE_BYTES)]
+    total = sum(map(len, records))
+    n = min(len(places), max(1, len(places) * SAMPLE_BYTES // max(total, 1)))
+    # One in each of n equal ranges, each time at another place of it, so that records of one length do not all give the same part.
+    chosen = places if n == len(places) else [places[int((j + j * 0.6180339887 % 1) * len(places) / n)] for j in range(n)]
+    return [records[i][at : at + PIECE_BYTES] for i, at in chosen]
+
+
+def _trained(size: int, samples: list[bytes]) -> bytes:
     import zstandard
 
-    total = sum(map(len, records))
-    every = max(1, total // SAMPLE_BYTES)
-    samples = [r[:16_384] for r in records[::every]]
-    if len(samples) < 16 or sum(map(len, samples)) < 8 * DICTIONARY_BYTES:
-        return b""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8, f=18, accel=4).as_bytes()
-    except zstandard.ZstdError:  # records too much alike to train on
+        return zstandard.train_dictionary(size, samples, k=256, d=8, f=18, accel=4).as_bytes()
+    except zstandard.ZstdError:  # samples too much alike to train on
         return b""
 
 
+@lru_cache(1)
+def head_dictionary() -> bytes:
+    """From the heads of made-up records."""
+    digests = [hashlib.sha256(b"%d" % i).hexdigest() for i in range(256)]
+    return _trained(1 << 10, [record(i, f"https://{d[:9]}.com/{d[9:15]}", b"", d, 97 * i, i // 2, i % 4 == 0) for i, d in enumerate(digests)])
+
+
+def build_dictionary(records: list[bytes]) -> bytes:
+    """From pieces of the archive's own records, an eighth of their size at most; where they are too few or too much alike
+    to train on, that of record heads. (Only how small the archive gets depends on it.)"""
+    samples = pieces(records)
+    total = sum(map(len, samples))
+    if len(samples) < LEAST_PIECES or total < LEAST_SAMPLE:
+        return head_dictionary()
+    return _trained(min(DICTIONARY_BYTES, total // 8), samples) or head_dictionary()
+
+
 def archive(records: list[bytes]) -> bytes:
     import zstandard
 

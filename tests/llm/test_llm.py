@@ -97,6 +97,21 @@ def test_archive_starts_with_its_dictionary():
     assert data[:4] == b"\x5d\x2a\x4d\x18" and int.from_bytes(data[4:8], "little") > 1000 and list(warc.records_of(data)) == records
 
 
+@pytest.mark.parametrize("number, words", [(250, 16_000), (40, 900), (40, 60), (3, 50), (1, 20_000), (1, 1), (40, 0)])
+def test_every_archive_has_a_dictionary(number, words):
+    """Few long records, small archives, a single record and records without content."""
+    import zstandard
+
+    r = random.Random(number)
+    records = [warc.record(i, "u", prose(words, r).encode(), "d", 1, None, False) for i in range(number)]
+    data = warc.archive(records)
+    size = int.from_bytes(data[4:8], "little")
+    assert 256 <= size <= warc.DICTIONARY_BYTES and zstandard.ZstdCompressionDict(data[8 : 8 + size]).dict_id() and list(warc.records_of(data)) == records
+    found = warc.pieces(records)
+    places = [(records.index(x), x.find(p)) for p in found[:: max(1, len(found) // 50)] for x in records if p in x]
+    assert len(found) >= min(300, sum(-(-len(x) // warc.PIECE_BYTES) for x in records)) and (words < 16_000 or max(at for _, at in places) > 16_384)
+
+
 def test_maintext(spark):
     page = "<html><head><title>T</title></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav><div class='cookie notice'>We use cookies.</div><article><h1>A &amp; B</h1><p>One  two\n three.<p>Four <b>five</b>.</p><div class=ad>Buy!</div></article><section class='comments'><p>Nice read, thanks.</p></section><footer>&copy; me</footer>"
     rows = [(1, page), (2, None), (3, ""), (4, "<p>a < b</p>"), (5, "<article>" + "<p>Word here.</p>" * 3000 + "</article>")]
