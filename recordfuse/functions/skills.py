@@ -173,6 +173,21 @@ def canonical_skill(c: Column, fuzzy: bool = True) -> Column:
     return F.coalesce(exact, _fuzzy(F.when(exact.isNull() & (trimmed(c) != ""), c))) if fuzzy else exact
 
 
-def canonical_skills(c: Column) -> Column:
-    """Of a list, by exact lookup: names without the unknown, each once, in order."""
-    return F.array_distinct(F.array_compact(F.transform(c, exact_skill)))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _fuzzy_each(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda xs: [x and best_match(x, CANONICAL, FUZZY_LEAST) for x in xs], na_action="ignore")
+
+
+def canonical_each(c: Column, fuzzy: bool = True) -> Column:
+    """``canonical_skill`` of each of a list, in its place. Python runs outside the list's functions, on lists that need it."""
+    exact = F.transform(c, exact_skill)
+    if not fuzzy:
+        return exact
+    rest = F.transform(c, lambda x: F.when(exact_skill(x).isNull() & (trimmed(x) != ""), x))
+    found = _fuzzy_each(F.when(F.exists(rest, lambda x: x.isNotNull()), rest))
+    return F.when(found.isNull(), exact).otherwise(F.zip_with(exact, found, lambda a, b: F.coalesce(a, b)))
+
+
+def canonical_skills(c: Column, fuzzy: bool = True) -> Column:
+    """Of a list: names without the unknown, each once, in order."""
+    return F.array_distinct(F.array_compact(canonical_each(c, fuzzy)))

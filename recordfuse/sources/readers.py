@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.language import detect_language
-from ..functions.skills import canonical_skill, find_skills
+from ..functions.skills import canonical_each, find_skills
 from ..operators.layout import SKILL_SECTIONS, tagged_array
 from ..schema import JOB, VALUE, completed, value
 
@@ -97,13 +97,13 @@ def read_ats(spark: SparkSession, path: str) -> DataFrame:
     return ats_records(numbered.select("rec_idx", "source_id", *[F.try_variant_get("item", p, "string").alias(n) for n, p in ATS_FIELDS.items()]))
 
 
-def note_skills(text: Column, fuzzy: bool = False) -> Column:
+def note_skills(text: Column, fuzzy: bool = True) -> Column:
     """Skills of the whole text, then of lines under a heading for skills (and such a line as a whole, less sure); each name
     once, where it was first found, with the most that it was sure."""
     own = F.filter(tagged_array(text), lambda x: F.lower(x.section).isin(*SKILL_SECTIONS) & (x.tag == "body"))
     lines = F.transform(own, lambda x: F.regexp_replace(t.trimmed(x.raw), "^[-•*▪·–— \t]+", ""))
     parts = F.concat(find_skills(text), F.flatten(F.transform(lines, find_skills)))
-    whole = F.array_compact(F.transform(lines, lambda x: canonical_skill(x, False)))
+    whole = F.array_compact(canonical_each(lines, fuzzy))
     sure, less = F.array_distinct(parts), F.array_except(whole, parts)
     return F.concat(t.as_values(sure, "skill_trie", 0.85), t.as_values(less, "skill_trie", 0.8))
 

@@ -71,5 +71,7 @@ def best_match(raw: str, names: tuple[str, ...], least: float) -> str | None:
     text = clean(raw)
     if len(text) < 2:
         return None
-    score, _, name = max((wratio(text, n), -i, n) for i, n in enumerate(names))
-    return name if score >= least else None
+    # Strings of which one is over eight times as long as the other reach 60 at most.
+    near = [(i, n) for i, n in enumerate(names) if least <= 60 or max(len(text), len(n)) <= 8 * min(len(text), len(n))]
+    score, _, name = max(((wratio(text, n), -i, n) for i, n in near), default=(0.0, 0, ""))
+    return name if near and score >= least else None

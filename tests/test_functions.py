@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from recordfuse.functions import dates, names, phones, skills, text
 from recordfuse.functions.language import detect_language
+from recordfuse.sources.readers import note_records, note_skills
 from recordfuse.udfs.wratio import best_match, ratio, wratio
 
 
@@ -86,3 +87,18 @@ def test_links(spark):
 
 def test_language(spark):
     assert values(spark, detect_language, ["the cat is in the house of the man", "der Hund ist nicht in dem Haus und die Katze", "kurz", "   "]) == ["en", "de", "en", "en"]
+
+
+def test_skill_lists_are_matched_fuzzily(spark):
+    got = values(spark, lambda c: skills.canonical_skills(F.split(c, ";")), ["js; kuberneties;zk-snark;Kubernetes;", "python;java", "zk-snark", None])
+    assert got == [["JavaScript", "Kubernetes"], ["Python", "Java"], [], None]
+    assert best_match("x" * 100_000, skills.CANONICAL, skills.FUZZY_LEAST) is None
+
+
+def test_note_skills_take_misspelt_lines(spark):
+    notes = ["Skills:\n- kuberneties\n* Python\nzk-snark\n\nSUMMARY\npostgresqll", "Skills:\npython", "kuberneties", ""]
+    got = values(spark, note_skills, notes)
+    assert [[(v.value, v.confidence) for v in x] for x in got] == [[("Python", 0.85), ("Kubernetes", 0.8)], [("Python", 0.85)], [], []]
+    assert [[v.value for v in x] for x in values(spark, lambda c: note_skills(c, fuzzy=False), notes)] == [["Python"], ["Python"], [], []]
+    rows = spark.createDataFrame([(i, str(i), x) for i, x in enumerate(notes)], "rec_idx long, source_id string, text string")
+    assert {r.rec_idx: [v.value for v in r.skills_raw] for r in note_records(rows).collect()} == {0: ["Python", "Kubernetes"], 1: ["Python"], 2: []}
