@@ -166,7 +166,7 @@ def n4(spark, d):
 
 @query("n7_script", "select doc_id, 'latin' as script from documents")
 def n7(spark, d):
-    return _docs(spark, d).select("doc_id", names.script_family(F.substring("text", 1, 1_000_000)).alias("script"))
+    return _docs(spark, d).select("doc_id", names.script_family(F.col("text")).alias("script"))
 
 
 _MONTHS_SQL = "case sdate when 'January 2018' then '2018-01' when 'Mar 2016' then '2016-03' when '4/2019' then '2019-04' when '2015' then '2015-01' end"

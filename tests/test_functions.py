@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from recordfuse.functions import dates, names, phones, skills, text
 from recordfuse.functions.language import detect_language
+from recordfuse.queries import QUERIES
 from recordfuse.sources.readers import note_records, note_skills
 from recordfuse.udfs.wratio import best_match, ratio, wratio
 
@@ -59,6 +60,12 @@ def test_phones(spark):
     assert got[0]["confidence"] == 0.6 and got[1]["confidence"] == 1.0 and got[4]["note"] == got[7]["note"] == "empty_input"
 
 
+def test_script_of_a_whole_long_text(spark, tmp_path):
+    rows = [(1, "ab " * 400_000 + "プリヤ" * 500_000), (2, "ab"), (3, "प्रिया"), (4, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(str(tmp_path / "documents.parquet"))
+    assert dict(QUERIES["n7_script"](spark, str(tmp_path)).collect()) == {1: "cjk", 2: "latin", 3: "indic_arabic", 4: "unknown"}
+
+
 def test_skills(spark):
     assert values(spark, skills.find_skills, ["Uses C++, node.js and apache spark; go!", "pythonic", "", None]) == [["C++", "Node.js", "Spark", "Go"], [], [], []]
     assert set(values(spark, skills.scan_skills, ["ruby on rails"])[0]) == {"Ruby", "Rails"}
