@@ -12,119 +12,115 @@ from ..udfs.wratio import best_match, clean, wratio
 from .text import trimmed
 
 #: Canonical name, then its other names.
-VOCABULARY = """\
-Python: python, py
-Java: java
-JavaScript: javascript, js, ecmascript, es6, es2015, es2020
-TypeScript: typescript, ts
-Go: go, golang
-Rust: rust
-C++: c++, cpp, c plus plus
-C#: c#, csharp, c sharp
-C: c language
-Ruby: ruby
-PHP: php
-Swift: swift
-Kotlin: kotlin
-Scala: scala
-R: r language, r programming
-MATLAB: matlab
-Perl: perl
-Shell: bash, shell, sh, zsh, fish shell
-Dart: dart
-React: react, reactjs, react.js
-Vue.js: vue, vuejs, vue.js
-Angular: angular, angularjs, angular.js
-Svelte: svelte
-HTML: html, html5
-CSS: css, css3
-Sass: sass, scss
-Next.js: next.js, nextjs, next js
-Nuxt.js: nuxt.js, nuxtjs
-Redux: redux
-jQuery: jquery
-Node.js: node, node.js, nodejs
-Django: django
-Flask: flask
-FastAPI: fastapi, fast api
-Spring: spring, spring boot, springboot
-Express: express, expressjs, express.js
-Rails: rails, ruby on rails
-Laravel: laravel
-ASP.NET: asp.net, asp net, aspnet
-PostgreSQL: postgresql, postgres, pg
-MySQL: mysql
-SQLite: sqlite
-MongoDB: mongodb, mongo
-Redis: redis
-Cassandra: cassandra
-Elasticsearch: elasticsearch, elastic search, es
-DynamoDB: dynamodb, dynamo db
-Neo4j: neo4j
-Oracle: oracle, oracle db, oracle database
-SQL: sql, structured query language
-AWS: aws, amazon web services, amazon aws
-GCP: gcp, google cloud, google cloud platform
-Azure: azure, microsoft azure
-Heroku: heroku
-Vercel: vercel
-Netlify: netlify
-Docker: docker
-Kubernetes: kubernetes, k8s
-Terraform: terraform
-Ansible: ansible
-Jenkins: jenkins
-GitHub Actions: github actions, github ci
-GitLab CI: gitlab ci, gitlab ci/cd
-CI/CD: ci/cd, ci cd, continuous integration, continuous delivery
-Linux: linux, unix
-Nginx: nginx
-Apache: apache
-Machine Learning: machine learning, ml
-Deep Learning: deep learning, dl
-NLP: nlp, natural language processing
-Computer Vision: computer vision, cv, image recognition
-PyTorch: pytorch, torch
-TensorFlow: tensorflow, tf
-Keras: keras
-scikit-learn: scikit-learn, sklearn, scikit learn
-Pandas: pandas
-NumPy: numpy
-Matplotlib: matplotlib
-Spark: spark, apache spark, pyspark
-Hadoop: hadoop, apache hadoop
-Kafka: kafka, apache kafka
-Airflow: airflow, apache airflow
-dbt: dbt, data build tool
-Tableau: tableau
-Power BI: power bi, powerbi
-REST API: rest api, rest, restful, restful api
-GraphQL: graphql, graph ql
-gRPC: grpc, g rpc
-WebSockets: websockets, websocket
-Jest: jest
-Pytest: pytest
-JUnit: junit
-Cypress: cypress
-Selenium: selenium
-Git: git
-GitHub: github
-GitLab: gitlab
-Bitbucket: bitbucket
-Microservices: microservices, microservice
-Event-Driven: event-driven, event driven
-Serverless: serverless
-Agile: agile, scrum, kanban
-"""
+VOCABULARY = {
+    "Python": ("python", "py"),
+    "Java": ("java",),
+    "JavaScript": ("javascript", "js", "ecmascript", "es6", "es2015", "es2020"),
+    "TypeScript": ("typescript", "ts"),
+    "Go": ("go", "golang"),
+    "Rust": ("rust",),
+    "C++": ("c++", "cpp", "c plus plus"),
+    "C#": ("c#", "csharp", "c sharp"),
+    "C": ("c language",),
+    "Ruby": ("ruby",),
+    "PHP": ("php",),
+    "Swift": ("swift",),
+    "Kotlin": ("kotlin",),
+    "Scala": ("scala",),
+    "R": ("r language", "r programming"),
+    "MATLAB": ("matlab",),
+    "Perl": ("perl",),
+    "Shell": ("bash", "shell", "sh", "zsh", "fish shell"),
+    "Dart": ("dart",),
+    "React": ("react", "reactjs", "react.js"),
+    "Vue.js": ("vue", "vuejs", "vue.js"),
+    "Angular": ("angular", "angularjs", "angular.js"),
+    "Svelte": ("svelte",),
+    "HTML": ("html", "html5"),
+    "CSS": ("css", "css3"),
+    "Sass": ("sass", "scss"),
+    "Next.js": ("next.js", "nextjs", "next js"),
+    "Nuxt.js": ("nuxt.js", "nuxtjs"),
+    "Redux": ("redux",),
+    "jQuery": ("jquery",),
+    "Node.js": ("node", "node.js", "nodejs"),
+    "Django": ("django",),
+    "Flask": ("flask",),
+    "FastAPI": ("fastapi", "fast api"),
+    "Spring": ("spring", "spring boot", "springboot"),
+    "Express": ("express", "expressjs", "express.js"),
+    "Rails": ("rails", "ruby on rails"),
+    "Laravel": ("laravel",),
+    "ASP.NET": ("asp.net", "asp net", "aspnet"),
+    "PostgreSQL": ("postgresql", "postgres", "pg"),
+    "MySQL": ("mysql",),
+    "SQLite": ("sqlite",),
+    "MongoDB": ("mongodb", "mongo"),
+    "Redis": ("redis",),
+    "Cassandra": ("cassandra",),
+    "Elasticsearch": ("elasticsearch", "elastic search", "es"),
+    "DynamoDB": ("dynamodb", "dynamo db"),
+    "Neo4j": ("neo4j",),
+    "Oracle": ("oracle", "oracle db", "oracle database"),
+    "SQL": ("sql", "structured query language"),
+    "AWS": ("aws", "amazon web services", "amazon aws"),
+    "GCP": ("gcp", "google cloud", "google cloud platform"),
+    "Azure": ("azure", "microsoft azure"),
+    "Heroku": ("heroku",),
+    "Vercel": ("vercel",),
+    "Netlify": ("netlify",),
+    "Docker": ("docker",),
+    "Kubernetes": ("kubernetes", "k8s"),
+    "Terraform": ("terraform",),
+    "Ansible": ("ansible",),
+    "Jenkins": ("jenkins",),
+    "GitHub Actions": ("github actions", "github ci"),
+    "GitLab CI": ("gitlab ci", "gitlab ci/cd"),
+    "CI/CD": ("ci/cd", "ci cd", "continuous integration", "continuous delivery"),
+    "Linux": ("linux", "unix"),
+    "Nginx": ("nginx",),
+    "Apache": ("apache",),
+    "Machine Learning": ("machine learning", "ml"),
+    "Deep Learning": ("deep learning", "dl"),
+    "NLP": ("nlp", "natural language processing"),
+    "Computer Vision": ("computer vision", "cv", "image recognition"),
+    "PyTorch": ("pytorch", "torch"),
+    "TensorFlow": ("tensorflow", "tf"),
+    "Keras": ("keras",),
+    "scikit-learn": ("scikit-learn", "sklearn", "scikit learn"),
+    "Pandas": ("pandas",),
+    "NumPy": ("numpy",),
+    "Matplotlib": ("matplotlib",),
+    "Spark": ("spark", "apache spark", "pyspark"),
+    "Hadoop": ("hadoop", "apache hadoop"),
+    "Kafka": ("kafka", "apache kafka"),
+    "Airflow": ("airflow", "apache airflow"),
+    "dbt": ("dbt", "data build tool"),
+    "Tableau": ("tableau",),
+    "Power BI": ("power bi", "powerbi"),
+    "REST API": ("rest api", "rest", "restful", "restful api"),
+    "GraphQL": ("graphql", "graph ql"),
+    "gRPC": ("grpc", "g rpc"),
+    "WebSockets": ("websockets", "websocket"),
+    "Jest": ("jest",),
+    "Pytest": ("pytest",),
+    "JUnit": ("junit",),
+    "Cypress": ("cypress",),
+    "Selenium": ("selenium",),
+    "Git": ("git",),
+    "GitHub": ("github",),
+    "GitLab": ("gitlab",),
+    "Bitbucket": ("bitbucket",),
+    "Microservices": ("microservices", "microservice"),
+    "Event-Driven": ("event-driven", "event driven"),
+    "Serverless": ("serverless",),
+    "Agile": ("agile", "scrum", "kanban"),
+}
 FUZZY_LEAST = 80.0
 
 #: Key in lower case to canonical name, in the dictionary's order.
-KEYS: dict[str, str] = {}
-for _line in VOCABULARY.splitlines():
-    _name, _others = _line.split(": ", 1)
-    for _key in (_name.lower(), *_others.split(", ")):
-        KEYS[_key] = _name
-CANONICAL = tuple(dict.fromkeys(KEYS.values()))
+KEYS: dict[str, str] = {key: name for name, others in VOCABULARY.items() for key in (name.lower(), *others)}
+CANONICAL = tuple(VOCABULARY)
 
 
 def _quoted(key: str) -> str:

@@ -18,7 +18,7 @@ NAME_WORDS = r"([A-Z][a-zA-Z'\-]+(?:\s[A-Z][a-zA-Z'\-]+){0,2})\b"
 CONTEXTS = ("spoke with", "met with", "called", "candidate", "interviewed")
 BIGRAM = r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b"
 BIGRAM_STOPS = ("full stack", "front end", "back end", "project manager", "team lead", "will follow", "don't rely", "heads up", "next week")
-NAME_STOPS = "resume curriculum vitae cv portfolio contact email phone address page profile summary experience education skills about me".split()
+NAME_STOPS = ("resume", "curriculum", "vitae", "cv", "portfolio", "contact", "email", "phone", "address", "page", "profile", "summary", "experience", "education", "skills", "about", "me")
 STEM_STOPS = ("resume", "cv", "pdf", "docx", "2026", "2025")
 LINKEDIN = r"(?i)(?:https?://)?(?:www\.)?linkedin\.com/in/([a-zA-Z0-9_-]+)"
 GITHUB = r"(?i)(?:https?://)?(?:www\.)?github\.com/([a-zA-Z0-9_-]+)"
@@ -26,9 +26,11 @@ GITHUB_STOPS = ("settings", "features", "about", "pricing", "explore")
 URL = r"https?://(?:www\.)?[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}(?:/[^\s]*)?"
 PORTFOLIO_WORDS = ("portfolio", "personal", "me.", "blog", "github.io")
 LOCATION = r"\b([A-Z][a-zA-Z\s]{1,20}),\s?([A-Z]{2}|[A-Z][a-zA-Z\s]{1,15})\b"
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-_MONTH = "(?:" + "|".join(m.capitalize() for m in MONTHS) + r")[a-z]*\.?\s+\d{4}"
-DATE_RANGE = rf"(?i)((?:\d{{1,2}}/)?{_MONTH}|\d{{4}})\s*(?:-|to)\s*(Present|\d{{1,2}}/\d{{4}}|{_MONTH}|\d{{4}})"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+DATE_RANGE = (
+    r"(?i)((?:\d{1,2}/)?(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{4}|\d{4})\s*(?:-|to)\s*"
+    r"(Present|\d{1,2}/\d{4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{4}|\d{4})"
+)
 JOBS_BEGIN = (r"(?i)\b(?:work|professional|employment|career)\s+experience\b", r"(?i)\bwork\s+history\b", r"(?i)\bexperience\b")
 JOBS_END = r"(?i)\b(?:education|academic|studies|certifications|projects|skills|summary|interests)\b"
 SCHOOL_BEGIN = (r"(?i)\beducation\b", r"(?i)\bacademic\b")

@@ -2,43 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="recordfuse-")
+from ..storage import spread_join, written
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once, as a table in the shared folder that the session names (``spark.checkpoint.dir``), and cuts its
-    lineage; in a folder of this machine where the session names none, as in tests. Readers of the table prune its columns
-    and know its size."""
-    spark = df.sparkSession
-    named = spark.sparkContext._jsc.sc().getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or (named.get() if named.isDefined() else _own_folder())
-    path = f"{folder.rstrip('/')}/recordfuse-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def star_labels(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that each end of an edge (a, b) reaches. Large and small stars in turn, each round a table
+    of its own; the number of rounds grows with the logarithm of the longest path. The many edges of a star's centre are dealt
+    to many tasks."""
+    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    least = lambda x: x.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    while True:
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = least(both).select("u", F.least("u", "m").alias("m"), "n")
+        large = written(spread_join(both, low, "u", ["v"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        joined = spread_join(large, least(large), "u", ["v"])
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+        new = written(joined.select(F.explode(ends).alias("x")).select("x.*").filter("u <> v").distinct(), "edges")
+        mark = [x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first() for x in (e, new)]
+        if mark[0] == mark[1]:
+            return new.select(F.col("u").alias("id"), F.col("v").alias("component")).union(new.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        e = new
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component) for nodes (id) and edges (a, b): the smallest id that a node reaches. Every round each node takes
-    the smallest label among its neighbours and then the label of that label, so paths shorten by half at least."""
-    both = edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = checkpointed(both)
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        hopped = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("id").alias("next"), F.col("label").alias("over"))
-        moved = checkpointed(hopped.join(jump, "next", "left").select("id", F.least("next", F.coalesce("over", "next")).alias("new"), "label"))
-        labels = moved.select("id", F.col("new").alias("label"))
-        if moved.filter("new <> label").isEmpty():
-            break
-    return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+    """(id, component) for nodes (id) and edges (a, b): the smallest id that a node reaches, its own without edges."""
+    return nodes.select("id").join(star_labels(edges), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

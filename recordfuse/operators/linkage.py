@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from ..functions.names import name_key, name_threshold, script_family
 from ..functions.phones import normalize_phone
 from ..functions.text import none_if_empty, trimmed
-from .graph import checkpointed, connected_components
+from ..storage import written
+from .graph import connected_components
 
 
 def email_key(c: Column) -> Column:
@@ -109,8 +110,8 @@ def resolve(records: DataFrame, foreign: bool = True) -> DataFrame:
     """(rec_idx, cluster_id, root): ``root`` is the smallest index of the cluster, which is a component of ``edges``. A
     conflict keeps two records from a direct link only; a third may still join them. Keys are computed once and written."""
     keys = record_keys(records, foreign)
-    keys = checkpointed(keys.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("emails", "phones")}))
+    keys = written(keys.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("emails", "phones")}), "keys")
     links = contact_links(keys, "emails").union(contact_links(keys, "phones")).union(name_links(keys))
-    found = checkpointed(connected_components(keys.select(F.col("rec_idx").alias("id")), links))
+    found = written(connected_components(keys.select(F.col("rec_idx").alias("id")), links), "clusters")
     ids = found.groupBy("component").agg(cluster_id(F.collect_list(F.col("id").cast("string"))).alias("cluster_id"))
     return found.join(ids, "component").select(F.col("id").alias("rec_idx"), "cluster_id", F.col("component").alias("root"))

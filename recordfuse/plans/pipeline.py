@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.fusion import merge
-from ..operators.graph import checkpointed
+from ..storage import written
 from ..operators.linkage import resolve
 from ..sources import readers
 from .projection import Projection, project
@@ -37,7 +37,7 @@ def run(spark: SparkSession, inputs: dict[str, str], how: Projection | None = No
         if kind not in inputs:
             continue
         try:
-            records = checkpointed(reader(spark, inputs[kind]))
+            records = written(reader(spark, inputs[kind]), "records")
             n = records.agg(F.count("*")).first()[0]
         except PySparkException as e:
             out.errors.append(f"{kind}: {type(e).__name__}")
@@ -54,7 +54,7 @@ def run(spark: SparkSession, inputs: dict[str, str], how: Projection | None = No
     records = readers.union_sources(found)
     day = F.lit(as_of).cast("date") if as_of else None
     # Computed once: the snapshot, the projection and the caller all read it.
-    out.candidates = checkpointed(merge(records, resolve(records), day))
+    out.candidates = written(merge(records, resolve(records), day), "candidates")
     ts = run_ts or datetime.datetime.now(datetime.UTC).isoformat()
     out.run_id = make_run_id(list(inputs.values()), ts)
     if output:
