@@ -14,6 +14,7 @@ def star_labels(edges: DataFrame) -> DataFrame:
     to many tasks."""
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     least = lambda x: x.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    now = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = least(both).select("u", F.least("u", "m").alias("m"), "n")
@@ -21,8 +22,8 @@ def star_labels(edges: DataFrame) -> DataFrame:
         joined = spread_join(large, least(large), "u", ["v"])
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
         new = written(joined.select(F.explode(ends).alias("x")).select("x.*").filter("u <> v").distinct(), "edges")
-        mark = [x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first() for x in (e, new)]
-        if mark[0] == mark[1]:
+        before, now = now, new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
+        if now == before:
             return new.select(F.col("u").alias("id"), F.col("v").alias("component")).union(new.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         e = new
 
