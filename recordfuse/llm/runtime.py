@@ -1,32 +1,25 @@
-"""What the operators of this subpackage share: shared-folder tables, checked broadcasts, worker set-up."""
+"""What the operators of this subpackage share: workers, batches, columns whose names do not clash."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Whole texts vary a thousandfold in length, so batches are kept short.
-ARROW_ROWS = 512
-
-#: Bytes of a lookup table up to which it is sent to every executor. Larger ones are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
+#: Rows that a worker turns into Python objects at once. (Spark itself bounds the bytes of an Arrow batch.)
+ROWS = 512
 
 _shipped: set[str] = set()
 
 
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 def prepare(spark: SparkSession) -> None:
-    """Makes the package importable on executors and bounds the Arrow batches sent to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Makes the package importable on executors."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -39,45 +32,47 @@ def prepare(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset, as in
-    tests) a temporary folder of this machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = found.get() if found.isDefined() else None
-    if not at:
-        at = tempfile.mkdtemp(prefix="recordfuse-shared-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/recordfuse/{name}-{uuid.uuid4().hex}"
+def made(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """A batch from tuples."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, outlives executors, is computed once."""
-    spark = session_of(df)
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def named(column: str) -> Column:
+    """The column of that name, whatever characters the name has."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+def others(df: DataFrame, *added: str) -> list[str]:
+    """The columns that stay beside the added ones. Names are compared as Spark does, without regard to case: of a clash the
+    added column remains."""
+    taken = {a.lower() for a in added}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A name like this one that no column has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def text_of(column: str = "text"):
+def text_of(column: str = "text") -> Column:
     """The text with null read as empty."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(named(column).cast("string"), F.lit(""))
 
 
 def tokenizer_path(name: str) -> str:
