@@ -1,12 +1,18 @@
 """SentencePiece encoding and decoding with offsets.
 
-Text is normalised by walking the model's compiled character map, longest prefix first; every normalised byte
-remembers the source bytes it came from, so each piece is projected onto a span of original bytes.
-
-The merges themselves are the library's, over the whole text; what it returns is held against the normalised bytes.
-
-Defined results: null text counts as empty; empty text has no ids and decodes to the empty string; repeated rows are
-encoded each on its own; other columns, whatever their names, do not matter; an empty table gives an empty table.
+Text is normalised by walking the model's compiled character map, longest prefix first, and every normalised byte
+remembers the source bytes that it came from. The walk starts at all bytes that a key may begin with at once and goes on, byte
+by byte, with those that still have a path in the map; of the prefixes found, the longest at each place counts, from left to
+right. A model whose map is empty has no path at all, so each of its characters stands for itself.
+
+The merges are the library's, over the whole text, and so is decoding. The pieces side by side are the normalised text, so
+where a piece begins and ends there says which source bytes it covers.
+
+Defined results: null text counts as empty; empty text has no ids and decodes to the empty string; pieces of an unknown
+character cover what the library says they do; where pieces and normalised text differ in length (a model that the rules
+here do not describe) ids and decoded text stand and the spans are null; repeated rows are encoded each on its own; other
+columns, whatever their names, do not matter, and those that clash with added ones are replaced; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -16,12 +22,11 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .runtime import prepare, text_of, tokenizer_path
+from .runtime import made, named, others, prepare, slices, spare, text_of, tokenizer_path
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -31,167 +36,139 @@ class CharsMap:
     """A compiled character map: a double-array trie over UTF-8, then the replacements, each ended by a zero byte."""
 
     def __init__(self, blob: bytes):
-        self.units: tuple[int, ...] = ()
+        self.units = np.zeros(1, np.uint32)  # a root without children
         self.pool = b""
         if blob:
             size = struct.unpack_from("<I", blob)[0]
-            self.units = struct.unpack_from(f"<{size // 4}I", blob, 4)
+            self.units = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.uint32)
             self.pool = blob[4 + size :]
+        byte = np.arange(256, dtype=np.uint32)
+        child = self._jump(self.units[:1])[0] ^ byte
+        there = child < len(self.units)
+        #: Bytes that a key may begin with.
+        self.first = there & (self.units[np.where(there, child, 0)] & np.uint32(0x800000FF) == byte)
 
     @staticmethod
-    def _jump(unit: int) -> int:
-        return (unit >> 10) << ((unit & 0x200) >> 6)
-
-    def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
-        """Bytes matched at ``at`` and their replacement, for the longest key of the map."""
-        if not self.units:
-            return None
-        node, best = self._jump(self.units[0]), None
-        for i in range(at, len(data)):
-            node ^= data[i]
-            if node >= len(self.units):
-                break
+    def _jump(units: np.ndarray) -> np.ndarray:
+        return (units >> 10) << ((units & 0x200) >> 6)
+
+    def longest(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the places ``at`` those where a key of the map begins, with the length of the longest key and the place of its
+        replacement in the pool."""
+        size, value = np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
+        which, node = np.arange(len(at)), np.full(len(at), self._jump(self.units[:1])[0], np.uint32)
+        for k in range(len(data)):
+            inside = at[which] + k < len(data)
+            which, node = which[inside], node[inside]
+            byte = data[at[which] + k].astype(np.uint32)
+            node = node ^ byte
+            there = node < len(self.units)
+            which, node, byte = which[there], node[there], byte[there]
             unit = self.units[node]
-            if unit & 0x800000FF != data[i]:
+            there = unit & np.uint32(0x800000FF) == byte
+            which, unit = which[there], unit[there]
+            node = node[there] ^ self._jump(unit)
+            if not len(which):
                 break
-            node ^= self._jump(unit)
-            if unit >> 8 & 1:
-                best = (i + 1 - at, self.units[node] & 0x7FFFFFFF)
-        if best is None:
-            return None
-        return best[0], self.pool[best[1] : self.pool.index(b"\0", best[1])]
-
-
-def _hex(*data: bytes) -> tuple[str, ...]:
-    return tuple(hashlib.sha256(x).hexdigest() for x in data)
+            ends = (unit >> 8 & 1) == 1
+            size[which[ends]], value[which[ends]] = k + 1, self.units[node[ends]] & np.uint32(0x7FFFFFFF)
+        found = np.flatnonzero(size)
+        return at[found], size[found], value[found]
 
-
-def _char_bytes(lead: int) -> int:
-    return 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+    def replacement(self, value: int) -> bytes:
+        return self.pool[value : self.pool.index(b"\0", value)]
 
 
 class Normaliser:
     def __init__(self, blob: bytes, dummy_prefix: bool, squeeze_spaces: bool, escape_spaces: bool = True):
         self.map = CharsMap(blob)
-        self.dummy_prefix, self.squeeze_spaces, self.escape = dummy_prefix, squeeze_spaces, escape_spaces
-
-    def steps(self, data: bytes) -> Iterator[tuple[int, int, bytes]]:
-        """(source start, source end, replacement) from the front to the back of ``data``."""
-        at = 0
-        while at < len(data):
-            hit = self.map.longest(data, at)
-            size, out = hit if hit else (_char_bytes(data[at]), data[at : at + _char_bytes(data[at])])
-            yield at, at + size, out
-            at += size
-
-    @property
-    def identity(self) -> bool:
-        """Nothing is replaced but spaces by marks."""
-        return not (self.map.units or self.squeeze_spaces) and self.escape
-
-    def length(self, text: str) -> int:
-        """Bytes of the normalised text."""
-        if not self.identity:
-            return len(self(text)[0])
-        return len(text.encode()) + text.count(" ") * (len(MARK.encode()) - 1) + len(MARK.encode()) * bool(self.dummy_prefix and text)
-
-    def sources(self, text: str, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For spans of normalised bytes, the first source byte of their origin and the one after the last."""
-        if not self.identity:
-            _, first, after = self(text)
-            return (np.array(x, np.int32)[i] if len(i) else np.zeros(0, np.int32) for x, i in ((first, begins), (after, ends - 1)))
-        wide = len(MARK.encode()) - 1
-        front = wide + 1 if self.dummy_prefix and text else 0
-        spaces = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 0x20)
-        spaces += front + wide * np.arange(len(spaces))  # where their marks begin in the normalised text
-        back = lambda x: np.maximum(x - front - wide * np.searchsorted(spaces, x), 0).astype(np.int32)
-        return back(begins), back(ends)
-
-    def __call__(self, text: str) -> tuple[bytes, list[int], list[int]]:
-        """The normalised bytes and, for each of them, the first source byte of its origin and the one after the last.
-        Bytes that one source character leaves unchanged each stand for themselves."""
-        mark = MARK.encode() if self.escape else b" "
-        out, begins, ends = bytearray(), [], []
-
-        def put(piece: bytes, start: int, end: int) -> None:
-            out.extend(piece)
-            begins.extend([start] * len(piece))
-            ends.extend([end] * len(piece))
-
-        data = text.encode()
-        steps = list(self.steps(data))
-        if self.squeeze_spaces:
-            while steps and not steps[0][2].strip(b" "):
-                steps.pop(0)
-        if not steps:
-            return b"", [], []
-        if self.dummy_prefix:
-            put(mark, steps[0][0], steps[0][0])
-        space_before = self.squeeze_spaces
-        for start, end, piece in steps:
-            same = piece == data[start:end]
-            while self.squeeze_spaces and space_before and piece.startswith(b" "):
-                piece, same = piece[1:], False
-            for k, byte in enumerate(piece):
-                span = (start + k, start + k + 1) if same else (start, end)
-                put(mark if byte == 0x20 else bytes((byte,)), *span)
-            if piece:
-                space_before = piece.endswith(b" ")
+        self.dummy_prefix, self.squeeze_spaces, self.space = dummy_prefix, squeeze_spaces, MARK.encode() if escape_spaces else b" "
+
+    def steps(self, data: np.ndarray) -> list[tuple[int, int, bytes]]:
+        """(source start, source end, replacement) from front to back: longest prefixes, none inside another."""
+        out, free = [], 0
+        starts = np.flatnonzero(self.map.first[data])
+        for at, size, value in zip(*(x.tolist() for x in self.map.longest(data, starts)), strict=True):
+            if at >= free:
+                free = at + size
+                out.append((at, free, self.map.replacement(value)))
+        return out
+
+    def replaced(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes after the map and, for each of them, the first source byte of its origin and the one after the last.
+        Bytes that are not replaced stand for themselves."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        out, begins = data, np.arange(len(data), dtype=np.int32)
+        ends = begins + np.int32(1)
+        if steps := self.steps(data):
+            parts, at = [], 0
+            for start, end, put in (*steps, (len(data), len(data), b"")):
+                n = len(put)
+                parts += [(data[at:start], begins[at:start], ends[at:start]), (np.frombuffer(put, np.uint8), np.full(n, start, np.int32), np.full(n, end, np.int32))]
+                at = end
+            out, begins, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
         if self.squeeze_spaces:
-            while out.endswith(mark):
-                del out[-len(mark) :], begins[-len(mark) :], ends[-len(mark) :]
-        return bytes(out), begins, ends
+            blank = out == 0x20
+            keep = ~blank | np.append(False, ~blank[:-1])[: len(blank)]  # of spaces that of each run which comes first
+            last = int(np.flatnonzero(~blank)[-1]) + 1 if not blank.all() else 0
+            keep[last:] = False
+            out, begins, ends = out[keep], begins[keep], ends[keep]
+        if self.dummy_prefix and len(out):
+            front = np.full(1, begins[0], np.int32)
+            out, begins, ends = np.concatenate([np.full(1, 0x20, np.uint8), out]), np.concatenate([front, begins]), np.concatenate([front, ends])
+        return out, begins, ends
+
+    def sources(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each byte after the map: where it ends in the normalised text, in which each space is a mark of three bytes, and
+        the first source byte of its origin and the one after the last."""
+        out, begins, ends = self.replaced(text)
+        wide = np.ones(len(out), np.int32)
+        wide[out == 0x20] = len(self.space)
+        return np.cumsum(wide, dtype=np.int32), begins, ends
+
+    def __call__(self, text: str) -> bytes:
+        return self.replaced(text)[0].tobytes().replace(b" ", self.space)
 
 
 class Pieces:
     """A loaded model."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | None = None, proto: bytes | None = None):
         import sentencepiece
-        from sentencepiece import sentencepiece_model_pb2 as proto
+        from sentencepiece import sentencepiece_model_pb2
 
-        with open(path, "rb") as f:
-            model = proto.ModelProto.FromString(f.read())
-        self.lib = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+        if proto is None:
+            with open(path, "rb") as f:
+                proto = f.read()
+        model = sentencepiece_model_pb2.ModelProto.FromString(proto)
+        self.lib = sentencepiece.SentencePieceProcessor(model_proto=proto)
         spec = model.normalizer_spec
         self.normalise = Normaliser(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
         kinds = type(model.pieces[0])
-        self.of_byte = [p.type == kinds.BYTE for p in model.pieces]
-        self.surface = [bytes((int(p.piece[3:-1], 16),)) if b else p.piece.encode() for p, b in zip(model.pieces, self.of_byte, strict=True)]
-        self.plain = [b"" if p.type == kinds.CONTROL else s if b else s.replace(MARK.encode(), b" ") for p, s, b in zip(model.pieces, self.surface, self.of_byte, strict=True)]
-        # With byte pieces nothing decodes to the sign for unknown characters.
-        self.exact_plain = model.trainer_spec.byte_fallback and spec.add_dummy_prefix and not spec.remove_extra_whitespaces and not spec.precompiled_charsmap
-        self.sizes = np.array([len(x) for x in self.surface], np.int64)
-        self.names = [str(i) for i in range(len(self.surface))]
-
-    def digests(self, text: str) -> tuple[int, str, str]:
+        self.sizes = np.array([1 if p.type == kinds.BYTE else 0 if p.type == kinds.CONTROL else len(p.piece.encode()) for p in model.pieces], np.int64)
+        self.sizes[[p.type == kinds.UNKNOWN for p in model.pieces]] = -1
+        self.names = [str(i) for i in range(len(model.pieces))]
+
+    def digests(self, text: str) -> tuple[int, str, str, str | None]:
         """(number of ids, SHA-256 of the ids, of the text that the ids decode to, and of the spans as ``begin:end``
         pairs of 32-bit little-endian numbers)."""
         ids, begins, ends = self.encode(text)
-        spans = np.stack([begins, ends], 1).astype("<i4").tobytes()
-        return len(ids), *_hex(",".join(map(self.names.__getitem__, ids)).encode(), self.decoded_bytes(ids), spans)
-
-    def decoded_bytes(self, ids: list[int]) -> bytes:
-        """What the library's decode gives, in UTF-8, for ids that encode made (whole characters in byte pieces): the
-        pieces side by side without the mark in front."""
-        if not self.exact_plain:
-            return self.lib.decode(ids).encode()
-        out = b"".join(map(self.plain.__getitem__, ids))
-        return out[1:] if out[:1] == b" " else out
-
-    def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+        said = (",".join(map(self.names.__getitem__, ids)).encode(), self.decode(ids).encode())
+        spans = None if begins is None else hashlib.sha256(np.stack([begins, ends], 1).astype("<i4").tobytes()).hexdigest()
+        return len(ids), *(hashlib.sha256(x).hexdigest() for x in said), spans
+
+    def encode(self, text: str) -> tuple[list[int], np.ndarray | None, np.ndarray | None]:
         """Ids, and the first byte and the byte after the last that each covers in the UTF-8 of ``text``."""
         ids = self.lib.encode(text)
-        return ids, *self.align(text, ids)
-
-    def align(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """The source spans of ``ids``. The normalised text is the pieces side by side; where a piece ends there, it
-        ends in the source at the byte that the normalised byte came from."""
-        sizes = self.sizes[np.asarray(ids, np.int64)] if ids else np.zeros(0, np.int64)
+        until, begins, ends = self.normalise.sources(text)
+        sizes = self.sizes[np.fromiter(ids, np.int64, len(ids))]
+        if len(unknown := np.flatnonzero(sizes < 0)):
+            surfaces = self.lib.encode(text, out_type=str)
+            sizes[unknown] = [len(surfaces[i].encode()) for i in unknown.tolist()]
         after = np.cumsum(sizes)
-        if (int(after[-1]) if ids else 0) != self.normalise.length(text):
-            raise ValueError("the pieces do not cover the normalised text")
-        return self.normalise.sources(text, after - sizes, after)
+        if (after[-1] if len(after) else 0) != (until[-1] if len(until) else 0):
+            return ids, None, None
+        return ids, begins[np.searchsorted(until, after - sizes, "right")], ends[np.searchsorted(until, after - 1, "right")]
 
     def decode(self, ids: list[int]) -> str:
         return self.lib.decode(ids)
@@ -205,44 +182,50 @@ def load(model: str) -> Pieces:
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     """``docs`` with ``piece_ids``, ``piece_begins`` and ``piece_ends`` (arrays; spans in bytes of the UTF-8 text)."""
     prepare(docs.sparkSession)
+    added = ("piece_ids", "piece_begins", "piece_ends")
+    own = others(docs, *added)
+    rows = docs.select(*map(named, own), text_of(text).alias(spare(docs, "_pieces_text")))
+    kind = pa.list_(pa.int32())
 
-    def spans(batches: Iterator) -> Iterator:
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
-        for batch in batches:
-            yield pd.DataFrame([pieces.encode(x) for x in batch], columns=["piece_ids", "piece_begins", "piece_ends"])
+        for b in slices(batches, 64):
+            got = list(zip(*map(pieces.encode, b.column(len(own)).to_pylist()), strict=True))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(x, kind) for x in got)], [*own, *added])
 
-    spans.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    made = F.pandas_udf(spans, "piece_ids array<int>, piece_begins array<int>, piece_ends array<int>")(text_of(text))
-    kept = [c for c in docs.columns if c not in ("piece_ids", "piece_begins", "piece_ends")]
-    return docs.select(*(F.col(f"`{c}`") for c in kept), made.alias("_pieces")).select(*(f"`{c}`" for c in kept), "_pieces.*")
+    schema = T.StructType(rows.schema.fields[:-1])
+    for c in added:
+        schema = schema.add(c, T.ArrayType(T.IntegerType()))
+    return rows.mapInArrow(spans, schema)
 
 
 def decode(encoded: DataFrame, ids: str = "piece_ids", model: str = MODEL) -> DataFrame:
     """``encoded`` with ``decoded`` (the text of the ids; null ids decode to null)."""
     prepare(encoded.sparkSession)
+    own = others(encoded, "decoded")
+    rows = encoded.select(*map(named, own), named(ids).alias(spare(encoded, "_pieces_ids")))
 
-    def plain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
-        for batch in batches:
-            yield batch.map(lambda x: None if x is None else pieces.decode([int(i) for i in x]))
+        for b in slices(batches, 64):
+            texts = [x and pieces.decode(x) if x is None or x else "" for x in b.column(len(own)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*own, "decoded"])
 
-    plain.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return encoded.withColumn("decoded", F.pandas_udf(plain, "string")(F.col(ids)))
+    return rows.mapInArrow(plain, T.StructType(rows.schema.fields[:-1]).add("decoded", "string"))
 
 
 def encode_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
     """Per row ``key``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, ``spans_sha256``: what ``encode`` then ``decode`` give, as digests.
     One pass without a shuffle; a worker holds one batch."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(key), text_of(text).alias("_text"))
-    names = ("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256")
+    rows = docs.select(named(key), text_of(text).alias("_text"))
+    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("spans_sha256", pa.string())]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
-        for b in batches:
-            got = list(map(pieces.digests, b.column(1).to_pylist()))
-            n, *hashes = zip(*got, strict=True) if got else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in hashes)], [key, *names])
+        for b in slices(batches):
+            got = made([pieces.digests(t) for t in b.column(1).to_pylist()], pa.schema(fields))
+            yield pa.RecordBatch.from_arrays([b.column(0), *got.columns], [key, *(n for n, _ in fields)])
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(digest, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    schema = T.StructType(rows.schema.fields[:1])
+    return rows.mapInArrow(digest, schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("spans_sha256", "string"))
