@@ -13,12 +13,13 @@
    of bounded size, and hot buckets are cut into many such pieces.
 
 Pairs inside one component are not looked for: they change no result. No group is gathered anywhere: classes, buckets
-and components are aggregated before they are shuffled and joined back.
+and components are aggregated before they are shuffled, and what is known of a group is joined back to its rows in pieces,
+so that a bucket, component or group of copies with a third of all rows is dealt to many tasks.
 
 Defined results: null text counts as empty; a document without words has an empty set, links with nothing and keeps its
-own id; with fewer words than the shingle length the whole sequence is the only shingle; rows with equal ids give equal
-results each; a null id gets the component of its set and is not kept; an empty table gives an empty table; other
-columns do not matter.
+own id; with fewer words than the shingle length the whole sequence is the only shingle; each row is judged by its own text,
+so rows that repeat an id may differ; a row without an id gets the smallest id that its text reaches (null if there is none)
+and is not kept; an empty table gives an empty table; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import prepare, text_of, written
+from ..operators.graph import star_labels
+from ..storage import settled, spread_join, written
+from .runtime import named, prepare, slices, spare, text_of
 
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
@@ -40,7 +43,7 @@ BATCH = 20
 MISS = 1e-6
 TOP = 4
 #: Queries held by a task at once, and rows that it reads for them.
-BLOCK, RUN = 128, 4096
+BLOCK, RUN = 128, 1024
 CACHED_WORDS = 300_000
 
 _LOWER = bytes(32 if 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -127,54 +130,70 @@ def surviving(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np
     return alive, matches[alive]
 
 
+def _place(key: str | Column, text: Column) -> list[Column]:
+    """What tells rows apart: the id and a hash of the text."""
+    return [(named(key) if isinstance(key, str) else key).cast("long").alias("id"), F.xxhash64(text).alias("h")]
+
+
+def _place_key() -> Column:
+    return F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.col("h").cast("string"))
+
+
 def _signed(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, n, set_key, signature); the last two null for empty sets."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("text"))
+    """(id, h, n, set_key, signature) of every row; the last two null for empty sets."""
+    rows = docs.select(*_place(key, text_of(text)), text_of(text).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         shingles, (a, b) = Shingles(words), _coefficients()
-        for batch in batches:
-            sets = [shingles.of(t) for t in batch.column(1).to_pylist()]
+        for batch in slices(batches):
+            sets = [shingles.of(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([signature(s, a, b) if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["id", "n", "set_key", "signature"],
+                ["id", "h", "n", "set_key", "signature"],
             )
 
-    return rows.mapInArrow(sign, "id bigint, n bigint, set_key binary, signature binary")
+    return rows.mapInArrow(sign, "id bigint, h bigint, n bigint, set_key binary, signature binary")
 
 
 def _bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
+def _counted(rows: DataFrame, by: str) -> DataFrame:
+    return rows.groupBy(by).agg(F.count("*").alias("n"))
+
+
+def _with_both(pairs: DataFrame, of: DataFrame, data: str) -> DataFrame:
+    """(a, b, left, right): what ``of`` (id, ``data``) has of both ends; an end with very many pairs is dealt to many tasks."""
+    side = lambda end, name: of.select(F.col("id").alias(end), F.col(data).alias(name))
+    one = spread_join(pairs, side("b", "right"), "b", ["a"], counts=_counted(pairs, "b"))
+    return spread_join(one, side("a", "left"), "a", ["b"], counts=_counted(pairs, "a")).select("a", "b", "left", "right")
+
+
 def _pruned(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
     """(a, b, matches) of the candidate pairs (a, b) that survive."""
-    left = signatures.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
-    right = signatures.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches, 4096):
             alive, matches = surviving(_bytes(x.column(2)), _bytes(x.column(3)), threshold)
             yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(alive)), x.column(1).take(pa.array(alive)), pa.array(matches, pa.int32())], ["a", "b", "matches"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(prune, "a bigint, b bigint, matches int")
+    return _with_both(pairs, signatures, "signature").mapInArrow(prune, "a bigint, b bigint, matches int")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b) of the pairs whose full sets have 100 * intersection >= percent * union."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         last: tuple = (None, None)
-        for x in batches:
+        for x in slices(batches):
             keep = []
             for i, (a, ta, tb) in enumerate(zip(*(x.column(k).to_pylist() for k in (0, 2, 3)), strict=True)):
                 if last[0] != a:
@@ -185,31 +204,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(keep, pa.int64())), x.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each end of an edge (a, b) reaches. Large and small stars in turn; every
-    round is checkpointed, the number of rounds grows with the logarithm of the longest path."""
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()
-    while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()
-        new = small.checkpoint()
-        mark = [x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first() for x in (e, new)]
-        if mark[0] == mark[1]:
-            return new.select(F.col("u").alias("id"), F.col("v").alias("component")).union(new.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        e = new
+    return _with_both(pairs, texts, "text").mapInArrow(check, "a bigint, b bigint")
 
 
 def _leaders(buckets: DataFrame) -> DataFrame:
     """Candidates (a, b): every member of a bucket with its smallest and with one drawn by hash."""
     by = F.struct(F.xxhash64("id", "key").alias("h"), F.col("id"))
-    heads = buckets.groupBy("key").agg(F.min("id").alias("low"), F.min(by)["id"].alias("drawn"))
-    both = buckets.join(heads, "key").select("id", F.explode(F.array_distinct(F.array("low", "drawn"))).alias("head"))
+    heads = buckets.groupBy("key").agg(F.min("id").alias("low"), F.min(by)["id"].alias("drawn"), F.count("*").alias("n"))
+    both = spread_join(buckets, heads, "key", ["id"]).select("id", F.explode(F.array_distinct(F.array("low", "drawn"))).alias("head"))
     return both.filter("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
 
 
@@ -217,18 +219,19 @@ def _met(queries: DataFrame, rows: DataFrame, by: str, meet, schema: str) -> Dat
     """``meet(group, queries, row)`` for every row and the queries of its group, in pieces of bounded size: queries
     (by, id, tag, data) in blocks of about ``BLOCK``, rows (by, id, tag, data) in runs of about ``RUN``. Each piece is read
     queries first, then row by row, so a task holds one block."""
-    many = lambda x, n, size: x.groupBy(by).agg(F.ceil(F.count("*") / size).cast("int").alias(n))
-    counts = many(queries, "blocks", BLOCK).join(many(rows, "runs", RUN), by)
+    many = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    counts = _counted(queries, by).withColumnRenamed("n", "nq").join(_counted(rows, by).withColumnRenamed("n", "nr"), by)
+    counts = written(counts.select(by, "nq", "nr", many("nq", BLOCK).alias("blocks"), many("nr", RUN).alias("runs")), "neardup-counts")
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = queries.join(counts, by).withColumn("block", place("blocks")).withColumn("run", every("runs")).withColumn("row", F.lit(1))
-    r = rows.join(counts, by).withColumn("run", place("runs")).withColumn("block", every("blocks")).withColumn("row", F.lit(2))
+    q = spread_join(queries, counts.withColumnRenamed("nq", "n"), by, ["id"]).withColumn("block", place("blocks")).withColumn("run", every("runs")).withColumn("row", F.lit(1))
+    r = spread_join(rows, counts.withColumnRenamed("nr", "n"), by, ["id"]).withColumn("run", place("runs")).withColumn("block", every("blocks")).withColumn("row", F.lit(2))
     columns = [by, "block", "run", "row", "id", "tag", "data"]
     both = q.select(*columns).union(r.select(*columns)).repartition(by, "block", "run").sortWithinPartitions(by, "block", "run", "row")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, block, ready, made = None, [], None, meet()
-        for x in batches:
+        for x in slices(batches):
             out = []
             for group, k, run, row, *rest in zip(*(x.column(i).to_pylist() for i in range(7)), strict=True):
                 if piece != (group, k, run):
@@ -249,8 +252,8 @@ def _rest(buckets: DataFrame, signatures: DataFrame, labels: DataFrame, texts: D
     """Links (a, b) between components. In every bucket that holds several, all members are compared with those outside
     its largest component; what survives is verified with the survivors around the same largest component."""
     own = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    heads = own.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component"))["component"].alias("main"), F.count("*").alias("kinds"))
-    opened = own.join(heads.filter("kinds > 1"), "key").join(signatures.select("id", F.col("signature").alias("data")), "id")
+    heads = own.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component"))["component"].alias("main"), F.count("*").alias("kinds"), F.sum("count").alias("n"))
+    opened = spread_join(own, heads.filter("kinds > 1"), "key", ["id"]).join(signatures.select("id", F.col("signature").alias("data")), "id")
     opened = written(opened.select("key", "id", F.struct("component", "main").alias("tag"), "data"), "neardup-open")
     threshold = percent / 100
     alike = _met(opened.filter("tag.component <> tag.main"), opened, "key", lambda: _Alike(threshold), "main bigint, id bigint, component bigint, query bigint")
@@ -312,37 +315,76 @@ class _Linked:
         return [(min(own, int(i)), max(own, int(i))) for i in ids[hit]]
 
 
-def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """Per row (``key``, n_shingles, component_id, kept): links are pairs of sets of ``words``-word shingles whose
-    similarity is ``percent`` per cent or more."""
+def _texts(docs: DataFrame, key: str, text: str, signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, text): of each class of sets the text of the row that stands for it."""
+    rows = docs.select(*_place(key, text_of(text)), text_of(text).alias("text")).select(_place_key().alias("k"), "text")
+    stand = classes.select(_place_key().alias("k"), "class")
+    found = spread_join(rows, stand, "k", [F.monotonically_increasing_id()], counts=_counted(signed.select(_place_key().alias("k")), "k"))
+    return found.groupBy(F.col("class").alias("id")).agg(F.min("text").alias("text"))
+
+
+def _grouped(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """(id, h, n, root, component_id) of every row: ``root`` is a number for the group of its text, null for empty sets."""
     prepare(docs.sparkSession)
     threshold = percent / 100
     signed = written(_signed(docs, key, text, words), "neardup-signed")
-    classes = signed.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min(F.struct("id", "n", "signature")).alias("s")).select("s.*", "set_key")
+    stand = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "h", "n", "signature")).alias("s")
+    classes = signed.filter("set_key is not null").groupBy("set_key").agg(stand, F.count("*").alias("copies"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("class"), "s.id", "s.h", "s.n", "s.signature", "set_key", "copies"), "neardup-classes")
     # Sets of up to three shingles link with equal sets alone when the threshold is over three quarters.
     few = 0 if threshold <= 0.75 else 3
-    signatures = written(classes.filter(F.col("n") > few).select("id", "signature"), "neardup-classes")
+    signatures = classes.filter(F.col("n") > few).select(F.col("class").alias("id"), "signature")
     bands = signatures.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * ROWS + 1, F.lit(ROWS))))).alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    buckets = written(bands.join(shared, "key"), "neardup-buckets")
+    shared = _counted(bands, "key").filter("n > 1")
+    buckets = written(spread_join(bands, shared, "key", ["id"]).select("id", "key"), "neardup-buckets")
 
-    candidates = _pruned(_leaders(buckets), signatures, threshold)
+    leaders = written(_leaders(buckets), "neardup-leaders")
     best = Window.partitionBy("b").orderBy(F.desc("matches"), "a")
-    first = candidates.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= TOP).select("a", "b")
-    texts = docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("text")).join(buckets.select("id").distinct(), "id", "left_semi")
-    texts = written(texts.groupBy("id").agg(F.min("text").alias("text")), "neardup-texts")
-    labels = components(_verified(first, texts, words, percent))
-    labels = written(labels, "neardup-labels")
+    first = _pruned(leaders, signatures, threshold).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= TOP).select("a", "b")
+    first = written(first, "neardup-first")
+    texts = written(_texts(docs, key, text, signed, classes.join(buckets.select(F.col("id").alias("class")).distinct(), "class", "left_semi")), "neardup-texts")
+    labels = written(star_labels(_verified(first, texts, words, percent)), "neardup-labels")
 
     more = _rest(buckets, signatures, labels, texts, words, percent)
-    named = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    joined = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    above = components(joined).select(F.col("id").alias("component"), F.col("component").alias("over"))
-    final = labels.select("id", "component").join(above, "component", "left").select("id", F.coalesce("over", "component").alias("component"))
-    alone = above.join(labels.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("over").alias("component"))
-    final = final.union(alone)
-
-    roots = classes.select("set_key", "id").join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
-    out = signed.drop("signature").join(roots, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    label = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    above = written(star_labels(joined).select(F.col("id").alias("component"), F.col("component").alias("over")), "neardup-above")
+    final = spread_join(labels, above, "component", ["id"], "left", _counted(labels, "component")).select("id", F.coalesce("over", "component").alias("root"))
+    alone = above.join(labels.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("over").alias("root"))
+    linked = final.union(alone).withColumnRenamed("id", "class").join(classes.select("class", "id"), "class")
+    linked = written(linked, "neardup-linked")
+    tops = linked.groupBy("root").agg(F.min("id").alias("top"), F.count("*").alias("n"))
+    roots = spread_join(linked, tops, "root", ["class"]).select("class", "root", "top")
+    told = classes.join(roots, "class", "left").select(
+        "set_key", F.coalesce("root", "class").alias("root"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("top")).alias("component_id"), F.col("copies").alias("n")
+    )
+    rows = signed.drop("signature").withColumnRenamed("n", "size")
+    full = spread_join(rows.filter("set_key is not null"), told, "set_key", ["id", "h"]).select("id", "h", "size", "root", "component_id")
+    empty = rows.filter("set_key is null").select("id", "h", "size", F.lit(None).cast("long").alias("root"), F.col("id").alias("component_id"))
+    return full.union(empty).withColumnRenamed("size", "n")
+
+
+def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """Per row (``key``, n_shingles, component_id, kept): links are pairs of sets of ``words``-word shingles whose
+    similarity is ``percent`` per cent or more."""
+    out = settled(docs.sparkSession, "neardup-found", lambda: _grouped(docs, key, text, words, percent))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near-copies, with all columns of ``docs``: that with the smallest id; without ids in the group, and
+    of rows with one id, that whose text has the smallest hash; of rows with one id and text one. Texts without words are
+    alike only within an id."""
+    found = settled(docs.sparkSession, "neardup-found", lambda: _grouped(docs, key, text, words, percent))
+    first = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "h"))
+    kept = found.filter("root is not null").groupBy("root").agg(first.alias("s")).select("s.id", "s.h").union(found.filter("root is null").select("id", "h").distinct())
+    copies = _counted(found.select(_place_key().alias("k")), "k")
+    k = spare(docs, "_place")
+    own = [named(c) for c in docs.columns]
+    rows = docs.select(*own, F.concat_ws(":", F.coalesce(named(key).cast("long").cast("string"), F.lit("-")), F.xxhash64(text_of(text)).cast("string")).alias(k))
+    many = copies.filter("n > 1").select(F.col("k").alias(k), F.lit(True).alias("_many"))
+    kept = kept.select(_place_key().alias(k)).join(many, k, "left").select(k, F.coalesce("_many", F.lit(False)).alias("_many"))
+    mark = spare(docs, "_many")
+    stay = spread_join(rows, kept.withColumnRenamed("_many", mark), k, [F.monotonically_increasing_id()], counts=copies.withColumnRenamed("k", k))
+    one = stay.filter(named(mark)).groupBy(k).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("_row")).select("_row.*")
+    return stay.filter(~named(mark)).select(*own).union(one.select(*own))
