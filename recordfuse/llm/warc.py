@@ -5,21 +5,27 @@ it first, in a skippable frame (magic 0x184D2A5D), and writes every record as a
 too uniform to train on have the dictionary of record heads, the same in every run. Pages with equal payloads of ``MIN_REVISIT`` bytes or more are
 stored once: the one with the smallest id as a response, the others as revisits that refer to it.
 
-Digests, not payloads, are aggregated to find repeats. Archives end after ``ARCHIVE_BYTES`` of payload, so a writer holds
-that much, and a reader one archive. They are written below the shared folder, each under a name made from its task's
-place and rewritten whole if the task runs again; reading goes through Spark's own file reader.
-
-Defined results: null html is an empty payload; a null url is left out; a null id has a record id of its own kind and
-never stands before another; rows that repeat the smallest id are all responses; an empty table gives no archives and an
-empty result; columns with other names do not matter.
+Pages are copied to the shared folder with a number for each row and the digest of its payload. Of payloads that repeat, the
+numbers of the rows are joined by digest, digests with very many rows in pieces; what comes of it (which rows are revisits, and
+of which row) is small, and is sent to the writers while it has ``MOST_SENT`` rows at most, so payloads stay where they are;
+beyond that it is joined by row number, of which each is one row's.
+
+Every record id is made of a number drawn for the run and the row's number, so ids are unique even where page ids repeat or are
+missing; the page's id has a field of its own. Archives end after ``ARCHIVE_BYTES`` of payload, so a writer holds that much, and a
+reader one archive. Each try of a task writes files of its own names, and Spark commits the list of those of one try only;
+``read`` reads what is in the list and nothing else, so what a lost try left behind does no harm.
+
+Defined results: null html is an empty payload; a null url is left out; a null id is left out and never stands before another;
+of rows that repeat the smallest id one is the response and the others are revisits of it; an empty table gives no archives
+and an empty result; columns with other names do not matter; a folder takes one run.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
-import posixpath
 import re
+import secrets
 import struct
 import uuid
 from collections.abc import Iterator
@@ -29,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import new_folder, prepare
+from ..storage import new_folder, spread_join, written
+from .runtime import made, named, prepare, slices
 
 #: Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -41,31 +48,31 @@ ARCHIVE_BYTES = 24 << 20
 DICTIONARY_BYTES, SAMPLE_BYTES, LEVEL = 32 << 10, 1 << 20, 3
 PIECE_BYTES, LEAST_PIECES, LEAST_SAMPLE = 2 << 10, 16, 16 << 10
 DATE = "2024-01-01T00:00:00Z"
+MOST_SENT = 200_000
 
 
-def record_id(page_id: int | None) -> str:
-    """A URN that holds the id: the lower half of the UUID is the id plus 2**63, null is marked in the upper half."""
-    high = 0x7265636F72640000 | (page_id is None)
-    return f"<urn:uuid:{uuid.UUID(int=high << 64 | ((page_id or 0) + (1 << 63)))}>"
-
-
-def id_of(urn: str) -> int | None:
-    n = uuid.UUID(urn.strip("<>").removeprefix("urn:uuid:")).int
-    return None if n >> 64 & 1 else (n & ((1 << 64) - 1)) - (1 << 63)
+def record_id(run: int, row: int) -> str:
+    """A URN of two numbers of 64 bits."""
+    return f"<urn:uuid:{uuid.UUID(int=run << 64 | row)}>"
 
 
 def _line(value: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, original: int | None, revisit: bool) -> bytes:
-    block = b"" if revisit else b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}"]
+def record(run: int, row: int, page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, original: tuple[int, int | None] | None = None) -> bytes:
+    """``original``: the row and the page id of the response that a revisit refers to."""
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size + payload if original is None else b""
+    head = ["WARC/1.1", f"WARC-Type: {'response' if original is None else 'revisit'}", f"WARC-Record-ID: {record_id(run, row)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_line(url)}")
+    if page_id is not None:
+        head.append(f"X-Page-Id: {page_id}")
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}"]
-    if revisit:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(original)}"]
+    if original is not None:
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(run, original[0])}"]
+        if original[1] is not None:
+            head.append(f"X-Refers-To-Page-Id: {original[1]}")
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -106,7 +113,7 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
 def head_dictionary() -> bytes:
     """From the heads of made-up records."""
     digests = [hashlib.sha256(b"%d" % i).hexdigest() for i in range(256)]
-    return _trained(1 << 10, [record(i, f"https://{d[:9]}.com/{d[9:15]}", b"", d, 97 * i, i // 2, i % 4 == 0) for i, d in enumerate(digests)])
+    return _trained(1 << 10, [record(2**63 + i, i, i, f"https://{d[:9]}.com/{d[9:15]}", b"", d, 97 * i, None if i % 4 else (i // 2, i // 2)) for i, d in enumerate(digests)])
 
 
 def build_dictionary(records: list[bytes]) -> bytes:
@@ -160,42 +167,51 @@ def records_of(data: bytes) -> Iterator[bytes]:
         yield b"".join(out)
 
 
-def planned(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """``key``, url, payload, payload_bytes, payload_digest, original: null for responses, else the id of the response."""
-    payload = F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    firsts = rows.filter(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    # Most payloads occur once: only those that repeat are joined.
-    joined = rows.join(firsts.filter("n > 1").drop("n"), "payload_digest", "left")
-    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()), F.col("first")).alias("original"))
+def planned(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
+    """row, page_id, url, payload, payload_bytes, payload_digest, original_row, original_page: the last two null for responses."""
+    payload = F.encode(F.coalesce(named(html).cast("string"), F.lit("")), "UTF-8")
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), named(key).cast("long").alias("page_id"), named(url).cast("string").alias("url"), payload.alias("payload"))
+    rows = written(rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)}), "warc-pages")
+    keys = rows.filter(F.col("payload_bytes") >= MIN_REVISIT).select("payload_digest", "row", "page_id")
+    first = F.min(F.struct(F.col("page_id").isNull().alias("without"), "page_id", "row")).alias("first")
+    firsts = keys.groupBy("payload_digest").agg(first, F.count("*").alias("n")).filter("n > 1").select("payload_digest", "n", F.col("first.row").alias("original_row"), F.col("first.page_id").alias("original_page"))
+    revisits = spread_join(keys, firsts, "payload_digest", ["row"]).filter("row <> original_row").select("row", "original_row", "original_page")
+    revisits = written(revisits, "warc-revisits")
+    few = revisits.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return rows.join(F.broadcast(revisits) if few else revisits, "row", "left")
 
 
-def write(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes the archives and returns their list: (path, records, bytes)."""
-    prepare(pages.sparkSession)
-    plan = planned(pages).withColumn("payload", F.when(F.col("original").isNull(), F.col("payload")))
+def _opened(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+
+def write(pages: DataFrame, folder: str, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
+    """Writes the archives and, beside them, their list, which it returns: (name, records, bytes)."""
+    spark = pages.sparkSession
+    prepare(spark)
+    run = secrets.randbits(64)
+    revisit = F.col("original_row").isNotNull()
+    plan = planned(pages, key, html, url).select("row", "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", "original_row", "original_page")
+    schema = pa.schema([("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, own, number, held, size = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, [], 0
 
         def end() -> pa.RecordBatch:
-            store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+            store, base = _opened(folder)
             store.create_dir(base, recursive=True)
-            data, name = archive(held), f"part-{part:06d}-{number:05d}.warc.zst"
-            # Written beside its name first: another try of this task may be writing it too.
-            draft = posixpath.join(base, f".{name}.{uuid.uuid4().hex}")
-            with store.open_output_stream(draft, compression=None) as f:
+            data, name = archive(held), f"part-{part:06d}-{number:05d}-{own}.warc.zst"
+            with store.open_output_stream(f"{base}/{name}", compression=None) as f:
                 f.write(data)
-            store.move(draft, posixpath.join(base, name))
-            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(held)], pa.int64()), pa.array([len(data)], pa.int64())], names=["path", "records", "bytes"])
+            return made([(name, len(held), len(data))], schema)
 
-        for x in batches:
-            for page_id, url, payload, n, digest, original in zip(*(c.to_pylist() for c in x.columns), strict=True):
-                held.append(record(page_id, url, payload or b"", digest, n, original, original is not None))
+        for x in slices(batches, 64):
+            for row, page_id, url, payload, n, digest, original, page in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                held.append(record(run, row, page_id, url, payload or b"", digest, n, None if original is None else (original, page)))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield end()
@@ -203,31 +219,36 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         if held:
             yield end()
 
-    return plan.mapInArrow(save, "path string, records bigint, bytes bigint")
+    plan.mapInArrow(save, "name string, records bigint, bytes bigint").write.parquet(f"{folder}/list")
+    return spark.read.parquet(f"{folder}/list")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of all archives of a folder: page_id, url, payload (null for revisits), payload_bytes, payload_digest,
-    record_type, refers_to. Digest and length of a response's payload are those of what was read."""
+    """The records of the archives in a folder's list: record_id, page_id, url, payload (null for revisits), payload_bytes,
+    payload_digest, record_type, refers_to. Digest and length of a response's payload are those of what was read."""
     prepare(spark)
-    schema = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
-    names = [x.split()[0] for x in schema.split(", ")]
-    # The archives themselves bound a batch: one at a time goes to Python.
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
+    listed = spark.read.parquet(f"{folder}/list").select("name")
+    tasks = min(listed.count(), max(4096, 4 * spark.sparkContext.defaultParallelism))
+    kinds = {"record_id": pa.string(), "page_id": pa.int64(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+    schema = pa.schema(list(kinds.items()))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for data in x.column(0):
+            for name in x.column(0).to_pylist():
+                store, base = _opened(folder)
+                with store.open_input_stream(f"{base}/{name}", compression=None) as f:
+                    data = f.read()
                 rows, size = [], 0
-                for raw in records_of(data.as_py()):
+                for raw in records_of(data):
                     rows.append(_row(*parse(raw)))
                     size += len(raw)
                     if size > 4 << 20:
-                        yield _batch(rows, names)
+                        yield made(rows, schema)
                         rows, size = [], 0
-                yield _batch(rows, names)
+                yield made(rows, schema)
 
-    return files.mapInArrow(unpack, schema)
+    said = "record_id string, page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+    return listed.repartition(max(tasks, 1)).mapInArrow(unpack, said)
 
 
 def _row(fields: dict[str, str], block: bytes) -> tuple:
@@ -237,20 +258,13 @@ def _row(fields: dict[str, str], block: bytes) -> tuple:
         size = len(payload)
         if digest != hashlib.sha256(payload).hexdigest():
             raise ValueError(f"the payload of {fields['warc-record-id']} does not have its digest")
-    refers = fields.get("warc-refers-to")
-    return id_of(fields["warc-record-id"]), fields.get("warc-target-uri"), payload, size, digest, fields["warc-type"], refers and id_of(refers)
-
-
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    columns = list(zip(*rows, strict=True)) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    number = lambda name: int(fields[name]) if name in fields else None
+    return fields["warc-record-id"], number("x-page-id"), fields.get("warc-target-uri"), payload, size, digest, fields["warc-type"], number("x-refers-to-page-id")
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes the pages and reads the archives back; one row per page, without payloads."""
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
-    if not write(pages, folder).agg(F.sum("records")).first()[0]:
-        return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    write(pages, folder)
     return read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
