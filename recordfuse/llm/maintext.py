@@ -9,8 +9,13 @@ article; training takes place once per process on the driver, and its weights ar
 Scripts, styles, templates, the head and comments never become text. Character references are decoded; white space
 inside a block becomes one space, and blocks are joined in page order by one line feed. Nothing is capped.
 
-Defined results: null or empty html gives an empty text; markup that never ends is read as far as it goes; a ``<`` that
-starts no tag is text; repeated rows are extracted each on its own; an empty table gives an empty table.
+Tags are read by the rules of HTML: a quote within an unquoted value is part of it, one in front of a value opens it. Work is in
+proportion to the length of a page however deep its elements are nested: what is open is counted, not walked through, and of
+class words only those are kept that the model has weights for.
+
+Defined results: null or empty html gives an empty text; an element that never ends is read to the end of the page, and so is a
+quoted value; a ``<`` that starts no tag is text; repeated rows are extracted each on its own; columns whose names clash with the
+added ones, in whatever case, are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,9 +29,9 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .runtime import prepare, text_of
+from .runtime import named, others, prepare, slices, spare, text_of
 
 #: Fixed values of HTML: elements that start and end blocks, that have no end, and whose content is no text.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -35,39 +40,109 @@ SILENT = ("script", "style", "template", "title", "noscript", "head", "textarea"
 #: Start tags that end an open element of the same kind.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)"""
+_TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|</(?![a-zA-Z])[^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+{_VALUE}?+)?+)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>"'][^\s>]*+))?+)?+""")
 _WORD = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Elements that do not keep an item or paragraph from ending the one before it.
+_LOOSE = ("p", "li")
 
 
 class Block:
-    __slots__ = ("text", "linked", "path", "names")
-
-    def __init__(self, text: str, linked: int, path: tuple[str, ...], names: tuple[str, ...]):
-        self.text, self.linked, self.path, self.names = text, linked, path, names
-
-
-def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order."""
+    """``tag``: the innermost block element; ``tags``, ``names``: block elements around it, and words of the classes, ids and roles of
+    all that is open; ``linked``: characters within links."""
+
+    __slots__ = ("text", "linked", "tag", "tags", "names")
+
+    def __init__(self, text: str, linked: int, tag: str, tags: frozenset[str], names: frozenset[str]):
+        self.text, self.linked, self.tag, self.tags, self.names = text, linked, tag, tags, names
+
+
+def _names(attributes: str) -> tuple[str, ...]:
+    found: list[str] = []
+    for a in _ATTRIBUTE.finditer(attributes):
+        name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+        if name in ("class", "id", "role"):
+            found += _WORD.findall(value.lower())
+        elif name == "hidden" or name == "style" and _HIDDEN.search(value):
+            found.append("hidden")
+    return tuple(found)
+
+
+class _Open:
+    """The open elements: a stack, and for what is asked of it the places at which each tag, block and barrier stands."""
+
+    def __init__(self, known: frozenset[str] | None):
+        self.known, self.stack, self.at = known, [], {}
+        self.blocks: list[int] = []
+        self.barriers: list[int] = []
+        self.names: dict[str, int] = {}
+        self.around: tuple[str, frozenset, frozenset] | None = None
+
+    def last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else -1
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        if self.known is not None:
+            names = tuple(w for w in names if w in self.known)
+        n = len(self.stack)
+        self.stack.append((tag, names))
+        self.at.setdefault(tag, []).append(n)
+        if tag in BLOCKS:
+            self.blocks.append(n)
+            if tag not in _LOOSE:
+                self.barriers.append(n)
+        for w in names:
+            self.names[w] = self.names.get(w, 0) + 1
+        if names or tag in BLOCKS:
+            self.around = None
+
+    def cut(self, n: int) -> None:
+        """Ends all elements from place ``n`` on."""
+        while len(self.stack) > n:
+            tag, names = self.stack.pop()
+            self.at[tag].pop()
+            for places in (self.blocks, self.barriers):
+                if places and places[-1] == len(self.stack):
+                    places.pop()
+            for w in names:
+                self.names[w] -= 1
+                if not self.names[w]:
+                    del self.names[w]
+            if names or tag in BLOCKS:
+                self.around = None
+
+    def about(self) -> tuple[str, frozenset, frozenset]:
+        """Innermost block, blocks around it, names: the same objects until something changes."""
+        if self.around is None:
+            own = self.stack[self.blocks[-1]][0] if self.blocks else "none"
+            tags = frozenset(t for t, places in self.at.items() if t in BLOCKS and len(places) > (t == own))
+            self.around = own, tags, frozenset(self.names)
+        return self.around
+
+
+def blocks_of(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """Leaf blocks with text, in page order; with ``known`` only those names are kept."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    parts: list[str] = []
-    linked = [0]
-    at, n = 0, len(page)
+    opened, parts = _Open(known), []
+    linked, at, n = 0, 0, len(page)
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked[0], tuple(t for t, _ in stack), tuple(w for _, names in stack for w in names)))
+                out.append(Block(text, linked, *opened.about()))
             parts.clear()
-        linked[0] = 0
+        linked = 0
 
     def put(raw: str) -> None:
+        nonlocal linked
         parts.append(raw)
-        if any(t == "a" for t, _ in stack):
-            linked[0] += len(raw.strip())
+        if opened.at.get("a"):
+            linked += len(raw.strip())
 
     while at < n:
         m = _TAG.search(page, at)
@@ -80,55 +155,50 @@ def blocks_of(page: str) -> list[Block]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        block = tag in BLOCKS
         if m[1]:
-            if tag in BLOCKS:
+            if block:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS and tag not in BLOCKS:
-                    break  # an inline end does not reach over the block it stands in
+            place = opened.last(tag)
+            # An inline end does not reach over the block that it stands in.
+            if place >= 0 and (block or not opened.blocks or place > opened.blocks[-1]):
+                opened.cut(place)
             continue
-        if tag in BLOCKS:
+        if block:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES.get(tag, ()):
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS and stack[i][0] not in ("p", "li"):
-                    break
+            place = max(map(opened.last, CLOSES.get(tag, ())), default=-1)
+            if place >= 0 and (not opened.barriers or place >= opened.barriers[-1]):
+                opened.cut(place)
         elif tag == "br":
             parts.append(" ")
         if tag in SILENT:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-            if not m[0].endswith("/>"):
-                at = end.end() if end else n if tag != "head" else at
-            continue
-        if tag in VOID or m[0].endswith("/>") and tag not in BLOCKS:
+            if tag == "svg" and m[3].endswith("/"):
+                continue
+            end = _end_of(tag).search(page, at)
+            at = end.end() if end else n if tag != "head" else at
             continue
-        names: tuple[str, ...] = ()
-        if m[3]:
-            names = tuple(w for a in _ATTRIBUTE.finditer(m[3]) for w in _WORD.findall((a[2] or a[3] or a[4] or "").lower()))
-            if _HIDDEN.search(m[3]):
-                names += ("hidden",)
-        stack.append((tag, names))
+        if tag not in VOID:
+            opened.push(tag, _names(m[3]) if m[3] else ())
     flush()
     return out
 
 
+@lru_cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*+>?", re.I)
+
+
 def features(blocks: list[Block]) -> list[list[str]]:
     out = []
     for i, b in enumerate(blocks):
-        path = [t for t in b.path if t in BLOCKS and t not in ("html", "body")]
-        own = path[-1] if path else "none"
+        own = b.tag if b.tag not in ("html", "body") else "none"
         words = b.text.count(" ") + 1
         size = min(int(math.log2(words)), 7)
         links = min(int(4 * b.linked / max(len(b.text), 1)), 4)
         f = ["one", f"tag:{own}", f"size:{size}", f"links:{links}", f"size:{size}:links:{links}", f"tag:{own}:links:{links}"]
-        f += [f"in:{t}" for t in set(path[:-1])]
-        f += [f"name:{w}" for w in set(b.names)]
-        if "article" in path or "main" in path:
+        f += [f"in:{t}" for t in b.tags if t not in ("html", "body")]
+        f += [f"name:{w}" for w in b.names]
+        if own in ("article", "main") or "article" in b.tags or "main" in b.tags:
             f += [f"within:{own}", f"within:size:{size}"]
         f.append("stop" if b.text[-1] in ".!?:\"”»" else "nostop")
         f.append("first" if i == 0 else "last" if i == len(blocks) - 1 else "middle")
@@ -141,6 +211,7 @@ class Chain:
 
     def __init__(self):
         self.weights: dict[str, float] = {}
+        self.known: frozenset[str] = frozenset()
         self.start, self.steps = [0.0, 0.0], [[0.0, 0.0], [0.0, 0.0]]
 
     def unary(self, rows: list[list[str]]) -> list[float]:
@@ -216,6 +287,7 @@ def fit(pages: list[tuple[str, list[int]]], passes: int = 6, rate: float = 0.3,
         order.shuffle(rows)
         for f, y in rows:
             chain.step(f, y, rate, squares, penalty)
+    chain.known = frozenset(f.removeprefix("name:") for f in chain.weights if f.startswith("name:"))
     return chain
 
 
@@ -254,6 +326,8 @@ def _page(r: random.Random) -> tuple[str, list[int]]:
 
     def small(names: tuple, deep: bool) -> str:
         tag = r.choice(("div", "div", "section", "p"))
+        if r.random() < 0.15:
+            names = tuple(f'{x}" {y}="' for x in names for y in ("hidden style", 'style="display:none" data-x'))
         if deep and tag != "p":
             return f"<{tag}{pick(names)}>" + "".join(block("p", prose(), 0) for _ in range(r.randint(1, 3))) + f"</{tag}>"
         return block(tag, prose() if r.random() < 0.7 else sentence(1, 6), 0, pick(names))
@@ -321,7 +395,7 @@ def trained() -> Chain:
 
 
 def main_text(page: str, chain: Chain) -> str:
-    found = blocks_of(page)
+    found = blocks_of(page, chain.known)
     return "\n".join(b.text for b, y in zip(found, chain.decode(features(found)), strict=True) if y)
 
 
@@ -329,13 +403,12 @@ def extract(pages: DataFrame, html: str = "html", chain: Chain | None = None) ->
     """``pages`` without ``html``, with ``text`` and ``n_chars`` (its code points)."""
     prepare(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(chain or trained())  # some hundred weights
-    own = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    rows = pages.select(*(F.col(f"`{c}`") for c in own), text_of(html).alias("_html"))
+    own = others(pages, html, "text", "n_chars")
+    rows = pages.select(*map(named, own), text_of(html).alias(spare(pages, "_html")))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches, 256):
             texts = [main_text(t, sent.value) for t in x.column(len(own)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*x.columns[: len(own)], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*own, "text", "n_chars"])
 
-    schema = rows.drop("_html").schema
-    return rows.mapInArrow(go, schema.add("text", "string").add("n_chars", "long"))
+    return rows.mapInArrow(go, T.StructType(rows.schema.fields[:-1]).add("text", "string").add("n_chars", "long"))
