@@ -5,14 +5,19 @@ user and ending with the assistant. Turns that are not are repaired at the least
 that automaton: a turn may be kept, merged into the turn before it (same role after repair), relabelled, or preceded by
 empty turns. The repaired turns are rendered between fixed marks.
 
-Turns are put in order by (turn, role, text), nulls first, with a range sort over conversation and order, so a
-conversation of any length is spread over tasks. Within a run of turns the programme's effect is a matrix of least costs
-between states; the matrices of a conversation's runs are chained, and then each run is decoded on its own from the state
-that it begins in to the one that it must end in. Only one small matrix per run, not its turns, meets the others.
+Turns are put in order by turn (nulls first), then role (system, user, assistant, unknown), then a hash of role and text, with a
+range sort over conversation and order, so a conversation of any length is spread over tasks; no text is sampled for it. What
+each task holds of a conversation is counted, which gives every turn its place from 0 on. Conversations of up to ``RUN`` turns are
+decoded whole. Longer ones are cut every ``RUN`` turns: within a run the programme's effect is a matrix of least costs between
+states; the matrices of a conversation's runs are chained, and then each run is decoded on its own from the state that it begins
+in to the one that it must end in. Only one small matrix per run, not its turns, meets the others.
+
+Of equally cheap repairs that counts whose last state comes first in ``STATES``, and so on from the back; where a long conversation
+is cut, the same choice is made between the states at the cuts first.
 
 Defined results: a null or unknown role can only be relabelled (at no cost for "null", else at the price of a relabel);
-null text counts as empty; a null conversation id is a conversation of its own; repeated turns are turns like others and
-mostly merge; an empty table gives an empty table; other columns do not matter. Marks within texts are broken by a
+null text counts as empty; turns with a null conversation id are a conversation of their own; repeated turns are turns like others
+and mostly merge; an empty table gives an empty table; other columns do not matter. Marks within texts are broken by a
 backslash, so a text cannot end its turn.
 """
 
@@ -22,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import prepare, written
+from ..storage import written
+from .runtime import made, prepare, slices
 
 ROLES = ("system", "user", "assistant")
 #: What a repair costs. Merging joins texts, relabelling changes who speaks, inserting makes up a turn; nobody becomes the system
@@ -106,9 +112,9 @@ def forward(roles: list[int]) -> np.ndarray:
     return m
 
 
-def decode(roles: list[int], start: int, end: int) -> list[tuple[str, str]]:
-    """(role after repair, what is done) per turn, for the cheapest way from ``start`` to ``end``. Of equal ways the one
-    whose last steps come first in ``MOVES`` is taken."""
+def decode(roles: list[int], start: int = 0, end: int | None = None) -> tuple[list[tuple[str, str]], float, int]:
+    """(role after repair, what is done) per turn, for the cheapest way from ``start`` to ``end`` (without it to the state in which the
+    conversation ends best), its cost, and the state that it ends in."""
     cost, back = [_FAR] * 4, []
     cost[start] = 0.0
     for r in roles:
@@ -120,12 +126,15 @@ def decode(roles: list[int], start: int, end: int) -> list[tuple[str, str]]:
                         new[to], step[to] = cost[s] + c, (s, done)
         cost = new
         back.append(step)
+    if end is None:
+        cost = [c + e for c, e in zip(cost, ENDING, strict=True)]
+        end = min(range(4), key=cost.__getitem__)
     out, at = [], end
     for step in reversed(back):
         s, done = step[at]
         out.append((ROLES[at - 1], done))
         at = s
-    return out[::-1]
+    return out[::-1], cost[end], end
 
 
 def escaped(text: str | None) -> str:
@@ -137,35 +146,53 @@ def rendered(role: str, text: str, new: bool) -> str:
     return f"{OPEN}{role}\n{text}" if new else f"\n{text}"
 
 
-def _ordered(conversations: DataFrame) -> DataFrame:
-    order = [F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text")]
-    own = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    own = own.repartitionByRange(*order).sortWithinPartitions(*order)
+def _role_number() -> Column:
+    r = F.lower(F.trim("role"))
+    out = F.lit(3)
+    for i, name in enumerate(ROLES):
+        out = F.when(r.isin(name, *[a for a, of in ALIASES.items() if of == name]), i).otherwise(out)
+    return out
+
+
+_CONVERSATION = ["none", "conv_id"]
+
+
+def _ordered(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(none, conv_id, place, turn, role, text), ``none`` for turns without an id, whose conv_id is 0 here; and how many turns the
+    conversations of more than one have (none, conv_id, turns)."""
+    id_ = F.col("conv_id").cast("long")
+    own = conversations.select(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    order = [*_CONVERSATION, "turn", "rank", "h"]
+    own = own.withColumns({"rank": _role_number(), "h": F.xxhash64("role", "text")}).repartitionByRange(*order).sortWithinPartitions(*order).select(*_CONVERSATION, "turn", "role", "text")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, n, last = TaskContext.get().partitionId(), 0, None
         for x in batches:
-            keys, runs, places = x.column(0).to_pylist(), [], []
-            for k in keys:
-                if n == 0 or k != last or n % RUN == 0:
-                    run, last = part * (1 << 40) + n, k
-                runs.append(run)
-                places.append(part * (1 << 40) + n)
-                n += 1
-            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(runs, pa.int64()), pa.array(places, pa.int64())], names=["conv_id", "turn", "role", "text", "run", "place"])
-
-    # Written once: every later step sees the same order and runs.
-    return written(own.mapInArrow(number, "conv_id bigint, turn bigint, role string, text string, run bigint, place bigint"), "chat-ordered")
-
-
-def _by_run(rows: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tuple]]:
-    """Runs of turns, which lie side by side in a partition; of at most ``RUN`` turns each."""
+            ranks = []
+            for key in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+                n = n + 1 if key == last else 0
+                last = key
+                ranks.append(n)
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array([part] * len(ranks), pa.int64()), pa.array(ranks, pa.int64())], names=[*_CONVERSATION, "turn", "role", "text", "part", "rank"])
+
+    # Written once: every later step sees the same order.
+    turns = written(own.mapInArrow(number, "none boolean, conv_id bigint, turn bigint, role string, text string, part bigint, rank bigint"), "chat-ordered")
+    counts = written(turns.groupBy(*_CONVERSATION, "part").agg(F.count("*").alias("n")), "chat-counts")
+    # Of two parts side by side at most one conversation goes on from the one to the other, so this has few rows.
+    so_far = Window.partitionBy(*_CONVERSATION).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("before", F.sum("n").over(so_far)).filter("before > 0").select(*_CONVERSATION, "part", "before")
+    placed = turns.join(F.broadcast(before), [*_CONVERSATION, "part"], "left").withColumn("place", F.col("rank") + F.coalesce("before", F.lit(0)))
+    return placed.select(*_CONVERSATION, "place", "turn", "role", "text"), counts.groupBy(*_CONVERSATION).agg(F.sum("n").alias("turns"))
+
+
+def _groups(rows: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple]]:
+    """Rows that agree in their first ``by`` columns, which lie side by side in a partition; of at most ``RUN`` turns each."""
     held: list[tuple] = []
-    for x in rows:
-        for row in zip(*(x.column(i).to_pylist() for i in range(columns)), strict=True):
-            if held and held[0][0] != row[0]:
+    for x in slices(rows):
+        for row in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            if held and held[0][:by] != row[:by]:
                 yield held
                 held = []
             held.append(row)
@@ -173,72 +200,70 @@ def _by_run(rows: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tuple
         yield held
 
 
-def repair(conversations: DataFrame) -> DataFrame:
-    """A row (conv_id, place, turn, role, new_role, done, before, piece, cost) per turn, ``place`` rising within a
+_REPAIRED = "conv_id bigint, place bigint, turn bigint, role string, new_role string, done string, before string, piece string, cost double"
+_KINDS = pa.schema([(n, {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}[k]) for n, k in (c.split() for c in _REPAIRED.split(", "))])
+
+
+def _repaired(turns: list[tuple], way: list[tuple[str, str]], enters: int, leaves: int, last: bool, cost: float) -> list[tuple]:
+    """Rows of the result for (none, conv_id, place, turn, role, text) in order."""
+    out = []
+    for i, ((none, conv, place, turn, role, text), (new, done)) in enumerate(zip(turns, way, strict=True)):
+        *inserted, what = done.split("+")
+        opened = i > 0 or enters > 0
+        before = (f"{CLOSE}\n" if what == "new" and opened else "") + "".join(f"{OPEN}{r}\n{CLOSE}\n" for r in inserted)
+        piece = rendered(new, escaped(text), what == "new")
+        if last and i == len(turns) - 1:
+            piece += f"{CLOSE}\n" + "".join(f"{OPEN}{r}\n{CLOSE}\n" for r in {1: ("user", "assistant"), 2: ("assistant",)}.get(leaves, ()))
+        kind = "merge" if what == "merge" else "keep" if ROLES.index(new) == role_number(role) else "relabel"
+        out.append((None if none else conv, place, turn, role, new, kind, before, piece, cost))
+    return out
+
+
+def repair(conversations: DataFrame, run: int = RUN) -> DataFrame:
+    """A row (conv_id, place, turn, role, new_role, done, before, piece, cost) per turn, ``place`` from 0 on within a
     conversation: ``before`` are the empty turns rendered in front, ``piece`` is the turn as rendered, with what ends it and
-    the conversation. The pieces of a conversation in order of ``place``, each after its ``before``, are its text."""
+    the conversation. The pieces of a conversation in order of ``place``, each after its ``before``, are its text; ``cost`` is that of
+    the whole conversation's repair."""
     prepare(conversations.sparkSession)
-    turns = _ordered(conversations)
+    turns, counts = _ordered(conversations)
+    long = written(counts.filter(F.col("turns") > run).select(*_CONVERSATION), "chat-long")
+    columns = [*_CONVERSATION, "place", "turn", "role", "text"]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _groups(batches, 2):
+            way, cost, leaves = decode([role_number(r[4]) for r in held])
+            yield made(_repaired(held, way, 0, leaves, True, cost + sum(unknown(r[4]) for r in held)), _KINDS)
+
+    if long.isEmpty():
+        return turns.repartition(*_CONVERSATION).sortWithinPartitions(*_CONVERSATION, "place").select(*columns).mapInArrow(whole, _REPAIRED)
+    short = turns.join(long, _CONVERSATION, "left_anti").repartition(*_CONVERSATION).sortWithinPartitions(*_CONVERSATION, "place")
+    cut = turns.join(long, _CONVERSATION, "left_semi").withColumn("run", F.floor(F.col("place") / run))
+    cut = written(cut.repartition(*_CONVERSATION, "run").sortWithinPartitions(*_CONVERSATION, "run", "place"), "chat-runs")
+    by_run = lambda x: x.repartition(*_CONVERSATION, "run").sortWithinPartitions(*_CONVERSATION, "run", "place")
+    step = pa.schema([("none", pa.bool_()), ("conv_id", pa.int64()), ("run", pa.int64()), ("costs", pa.list_(pa.float64()))])
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _by_run(batches, 4):
-            m = forward([role_number(r[3]) for r in held]) + sum(unknown(r[3]) for r in held)
-            yield pa.RecordBatch.from_arrays([pa.array([held[0][1]], pa.int64()), pa.array([held[0][0]], pa.int64()), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], names=["conv_id", "run", "costs"])
-
-    # A run may end in one file and go on in another only at a border of the sort's partitions, where a new one begins.
-    sorted_turns = turns.repartition("run").sortWithinPartitions("run", "place")
-    steps = sorted_turns.select("run", "conv_id", "place", "role").mapInArrow(matrices, "conv_id bigint, run bigint, costs array<double>")
-    states = _states(written(steps, "chat-steps"))
-    joined = turns.join(states, "run").repartition("run").sortWithinPartitions("run", "place").select("run", "conv_id", "place", "role", "turn", "text", "enters", "leaves", "last", "cost")
-    names = ["conv_id", "place", "turn", "role", "new_role", "done", "before", "piece", "cost"]
-    kinds = [pa.int64()] * 3 + [pa.string()] * 5 + [pa.float64()]
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _by_run(batches, 10):
-            out, (enters, leaves, last, cost) = [], held[0][6:]
-            way = decode([role_number(r[3]) for r in held], enters, leaves)
-            for i, (row, (role, done)) in enumerate(zip(held, way, strict=True)):
-                *inserted, what = done.split("+")
-                opened = i > 0 or enters > 0
-                before = (f"{CLOSE}\n" if what == "new" and opened else "") + "".join(f"{OPEN}{r}\n{CLOSE}\n" for r in inserted)
-                piece = rendered(role, escaped(row[5]), what == "new")
-                if last and i == len(held) - 1:
-                    piece += f"{CLOSE}\n" + "".join(f"{OPEN}{r}\n{CLOSE}\n" for r in {1: ("user", "assistant"), 2: ("assistant",)}.get(leaves, ()))
-                kind = "merge" if what == "merge" else "keep" if ROLES.index(role) == role_number(row[3]) else "relabel"
-                out.append((row[1], row[2], row[4], row[3], role, kind, before, piece, cost))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    return joined.mapInArrow(apply, "conv_id bigint, place bigint, turn bigint, role string, new_role string, done string, before string, piece string, cost double")
-
-
-def _states(steps: DataFrame) -> DataFrame:
-    """(run, enters, leaves, last, cost): the states between the runs of the cheapest way through each conversation, and
-    the cost of that way. Conversations of one run, which are nearly all, need no other rows."""
-    counted = steps.groupBy("conv_id").agg(F.count("*").alias("runs"), F.min("run").alias("only"))
-    single = steps.join(counted.filter("runs = 1").select(F.col("only").alias("run")), "run")
-
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            out = [(r, *_chained([(r, c)])[0][1:]) for r, c in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
-            yield _state_batch(out)
+        for held in _groups(batches, 3):
+            m = forward([role_number(r[4]) for r in held]) + sum(unknown(r[4]) for r in held)
+            yield made([(*held[0][:3], m.ravel().tolist())], step)
 
-    schema = "run bigint, enters int, leaves int, last boolean, cost double"
-    alone = single.select("run", "costs").mapInArrow(one, schema)
-    long = counted.filter("runs > 1").select(F.col("conv_id").alias("_long"))
-    several = steps.join(long, F.col("conv_id").eqNullSafe(F.col("_long"))).select("conv_id", "run", "costs")
+    steps = by_run(cut).select(*_CONVERSATION, "run", "place", "role").mapInArrow(matrices, "none boolean, conv_id bigint, run bigint, costs array<double>")
+    state = pa.schema([("none", pa.bool_()), ("conv_id", pa.int64()), ("run", pa.int64()), ("enters", pa.int32()), ("leaves", pa.int32()), ("last", pa.bool_()), ("cost", pa.float64())])
 
-    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _by_run(batches, 3):
-            yield _state_batch(_chained([(r[1], r[2]) for r in held]))
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _groups(batches, 2):
+            yield made([(*held[0][:2], *x) for x in _chained([r[2:] for r in held])], state)
 
-    chained = several.repartition("conv_id").sortWithinPartitions("conv_id", "run").select("conv_id", "run", "costs").mapInArrow(many, schema)
-    return alone.union(chained)
+    chained = steps.repartition(*_CONVERSATION).sortWithinPartitions(*_CONVERSATION, "run").mapInArrow(chain, "none boolean, conv_id bigint, run bigint, enters int, leaves int, last boolean, cost double")
+    joined = by_run(cut.join(chained, [*_CONVERSATION, "run"])).select(*_CONVERSATION, "run", "place", "turn", "role", "text", "enters", "leaves", "last", "cost")
 
+    def by_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _groups(batches, 3):
+            enters, leaves, last, cost = held[0][7:]
+            way = decode([role_number(r[5]) for r in held], enters, leaves)[0]
+            yield made(_repaired([(*r[:2], *r[3:7]) for r in held], way, enters, leaves, last, cost), _KINDS)
 
-def _state_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.float64()]
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["run", "enters", "leaves", "last", "cost"])
+    return short.select(*columns).mapInArrow(whole, _REPAIRED).union(joined.mapInArrow(by_runs, _REPAIRED))
 
 
 def _chained(runs: list[tuple[int, list[float]]]) -> list[tuple]:

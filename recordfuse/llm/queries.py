@@ -35,7 +35,7 @@ def op4_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.repair(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
-    return turns.select("conv_id", "turn", "role", "new_role", "done", "cost", F.concat("before", "piece").alias("rendered"))
+    return turns.select("conv_id", "place", "turn", "role", "new_role", "done", "cost", F.concat("before", "piece").alias("rendered"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
