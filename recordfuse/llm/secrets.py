@@ -12,17 +12,20 @@ The method adds ``random``: tokens of 16 characters or more that pass as random
 * Encoding: hex, base32, base36, base62, base64 or base64url, by the characters used, when letters and digits mix.
 * Battery under the hypothesis "drawn at random from that alphabet": chi-squared uniformity of the symbols (with the
   exact mean and variance for that length), Wald-Wolfowitz runs above and below the alphabet's middle, and serial
-  correlation at lag 1. The smallest of the three p-values, times three, must not fall under ``ALPHA``.
-* False discoveries: the hypothesis to refute is "an ordinary token". The likelihood ratio of the random alphabet
-  against a chain of character classes as ordinary tokens have them has mean 1 under that hypothesis, so it is an
-  e-value, and it can only become large in long tokens. Within each range of lengths the e-BH rule picks the tokens,
-  which bounds the share of ordinary tokens among those picked by ``FDR`` under any dependence. Its thresholds come
-  from counts by length range and ratio over all rows (a fixed number of cells).
-
-Random tokens inside a base span are not listed again. Nothing is shuffled but those counts.
+  correlation at lag 1. The smallest of the three p-values, times three, is the battery's p.
+* False discoveries: the hypothesis to refute is "an ordinary token". The likelihood ratio of the random alphabet against a
+  chain of character classes as ordinary tokens have them has mean 1 under that hypothesis, so it is an e-value; times
+  min(1, p / ``ALPHA``), which takes evidence away where the battery says that the token is not random either, it still is one
+  (it only became smaller). It can only become large in long tokens. Within each range of lengths the e-BH rule picks tokens among
+  all that were tested there, whatever the battery said of them, which bounds the share of ordinary tokens among those picked by
+  ``FDR`` under any dependence. The bound is as good as the chain (``ORDINARY``, a fixed parameter) is a model of ordinary
+  tokens. The rule's thresholds come from counts by length range and evidence over all rows (a fixed number of cells).
+
+Random tokens inside a base span are not listed again. Texts are scanned once: spans and candidates are written to the
+shared folder, the thresholds counted from them. Nothing is shuffled but those counts.
 
 Defined results: null text counts as empty (no spans); repeated rows give their spans each; an empty table gives an
-empty table; columns that clash with the added ones are replaced.
+empty table; columns whose names clash with the added ones, in whatever case, are replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import text_of
+from ..storage import written
+from .runtime import named, others, spare, text_of
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -65,7 +69,7 @@ ORDINARY = (
 )
 #: Lower ends of the length ranges within which false discoveries are controlled.
 LENGTHS = (16, 20, 24, 32, 48, 64, 128)
-_RATIO_LOW, _RATIO_HIGH, _RATIO_STEP = -20.0, 60.0, 0.25
+_LOW, _HIGH, _STEP = -20.0, 60.0, 0.25
 _BLOCK = 256
 
 
@@ -171,8 +175,7 @@ def _log_ratios() -> list[float]:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start, end, ratio, p>>: tokens in one of the encodings, the log likelihood ratio and the battery's
-    p-value."""
+    """array<struct<start, end, evidence>>: tokens in one of the encodings and the logarithm of their e-value."""
     mixed = lambda m: m.text.rlike("[0-9]") & m.text.rlike("[A-Za-z]")
     body = lambda m: F.regexp_replace(m.text, "=+$", "")
 
@@ -203,7 +206,8 @@ def candidates(text: Column) -> Column:
     def scored(t: Column) -> Column:
         first = F.struct(F.lit(4).alias("before"), F.lit(0.0).alias("sum"))
         ratio = F.aggregate(t.classes, first, lambda a, x: F.struct(x.alias("before"), (a["sum"] + F.element_at(ratios, t.encoding * 20 + a["before"] * 4 + x + 1)).alias("sum")))["sum"]
-        return F.struct(t.start.alias("start"), t.end.alias("end"), ratio.alias("ratio"), _battery(t).alias("p"))
+        trust = F.log(F.greatest(F.least(F.lit(1.0), _battery(t) / ALPHA), F.lit(1e-300)))
+        return F.struct(t.start.alias("start"), t.end.alias("end"), (ratio + trust).alias("evidence"))
 
     found = F.filter(F.flatten(F.transform(F.filter(spans_of(text, TOKEN), mixed), parts)), mixed)
     tokens = F.filter(F.transform(found, infer), lambda t: t.encoding.isNotNull() & (F.length(t.body) >= LENGTHS[0]))
@@ -217,21 +221,21 @@ def _length_range(n: Column) -> Column:
     return r
 
 
-def _cell(ratio: Column) -> Column:
-    return F.floor(F.least(F.greatest(ratio, F.lit(_RATIO_LOW)), F.lit(_RATIO_HIGH)) / _RATIO_STEP).cast("int")
+def _cell(evidence: Column) -> Column:
+    return F.floor(F.least(F.greatest(evidence, F.lit(_LOW)), F.lit(_HIGH)) / _STEP).cast("int")
 
 
-def thresholds(docs: DataFrame, text: str = "text", fdr: float = FDR) -> list[int | None]:
-    """By length range the least cell of the ratio that the e-BH rule picks (None: it picks none)."""
-    tokens = docs.select(F.explode(candidates(text_of(text))).alias("t")).filter(F.col("t.p") >= ALPHA)
-    cells = tokens.groupBy(_length_range(F.col("t.end") - F.col("t.start")).alias("length"), _cell(F.col("t.ratio")).alias("cell")).count().collect()
+def thresholds(found: DataFrame, column: str, fdr: float = FDR) -> list[int | None]:
+    """By length range the least cell of evidence that the e-BH rule picks among all tokens tested (None: it picks none)."""
+    tokens = found.select(F.explode(column).alias("t"))
+    cells = tokens.groupBy(_length_range(F.col("t.end") - F.col("t.start")).alias("length"), _cell(F.col("t.evidence")).alias("cell")).count().collect()
     out: list[int | None] = [None] * len(LENGTHS)
     for r in range(len(LENGTHS)):
         own = sorted(((c["cell"], c["count"]) for c in cells if c["length"] == r), reverse=True)
         total, above = sum(n for _, n in own), 0
         for cell, n in own:
             above += n
-            if cell * _RATIO_STEP >= math.log(total / (fdr * above)):
+            if cell * _STEP >= math.log(total / (fdr * above)):
                 out[r] = cell
     return out
 
@@ -248,17 +252,22 @@ def _union(spans: Column) -> Column:
     return F.when(F.size(spans) > 1, F.aggregate(F.array_sort(plain), F.array().cast("array<struct<start:int,end:int>>"), add)).otherwise(plain)
 
 
-def find(docs: DataFrame, text: str = "text", limits: list[int | None] | None = None) -> DataFrame:
-    """``docs`` with ``base_spans`` and ``all_spans``: array<struct<start, kind, end>>, by start, then kind. Two passes
-    over the texts, the first for the thresholds."""
-    limits = thresholds(docs, text) if limits is None else limits
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("base_spans", "all_spans")]
+def _spans(docs: DataFrame, text: str, keep: list[str], base: str, every: str, limits: list[int | None] | None) -> DataFrame:
+    """The columns ``keep``, and the two arrays of ``find`` under the names given."""
+    own, found = [named(c) for c in keep], spare(docs, "_found")
+    scanned = written(docs.select(*own, base_spans(text_of(text)).alias(base), candidates(text_of(text)).alias(found)), "secrets-scanned")
+    limits = thresholds(scanned, found) if limits is None else limits
     bound = F.array(*[F.lit(math.inf if x is None else float(x)) for x in limits])
-    passing = lambda t: (t.p >= ALPHA) & (_cell(t.ratio) >= F.element_at(bound, _length_range(t.end - t.start) + 1))
-    scanned = docs.select(*own, base_spans(text_of(text)).alias("_base"), F.filter(candidates(text_of(text)), passing).alias("_found"))
-    new = F.filter("_found", lambda t: ~F.exists("_base", lambda b: (b.start <= t.start) & (t.end <= b.end)))
+    picked = F.filter(found, lambda t: _cell(t.evidence) >= F.element_at(bound, _length_range(t.end - t.start) + 1))
+    new = F.filter(picked, lambda t: ~F.exists(base, lambda b: (b.start <= t.start) & (t.end <= b.end)))
     random = F.transform(_union(new), lambda t: F.struct(t.start.alias("start"), F.lit(3).alias("kind"), t.end.alias("end")))
-    return scanned.select(*own, F.col("_base").alias("base_spans"), F.array_sort(F.concat("_base", random)).alias("all_spans"))
+    return scanned.select(*own, base, F.array_sort(F.concat(base, random)).alias(every))
+
+
+def find(docs: DataFrame, text: str = "text", limits: list[int | None] | None = None) -> DataFrame:
+    """``docs`` with ``base_spans`` and ``all_spans``: array<struct<start, kind, end>>, by start, then kind. ``limits`` as ``thresholds``
+    gives them; without them those of the rows at hand."""
+    return _spans(docs, text, others(docs, "base_spans", "all_spans"), "base_spans", "all_spans", limits)
 
 
 def listed(spans: str) -> Column:
@@ -267,19 +276,21 @@ def listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s.kind + 1), s.start.cast("string"), s.end.cast("string"))), ",")
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", limits: list[int | None] | None = None) -> DataFrame:
     """Per row ``key``, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``, ``n_random``."""
-    found = find(docs.select(F.col(key), F.col(text).alias("_scanned")), "_scanned")
+    found = _spans(docs.select(named(key), named(text)), text, [key], "_base_spans", "_all_spans", limits)
     number = lambda k, of: F.size(F.filter(of, lambda s: s.kind == k)).cast("long")
     return found.select(
-        F.col(key), *(number(i, "base_spans").alias(f"n_{KINDS[i]}") for i in range(3)),
-        F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("all_spans").alias("spans"), number(3, "all_spans").alias("n_random"),
+        named(key), *(number(i, "_base_spans").alias(f"n_{KINDS[i]}") for i in range(3)),
+        F.sha2(listed("_base_spans"), 256).alias("base_sha256"), listed("_all_spans").alias("spans"), number(3, "_all_spans").alias("n_random"),
     )
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span replaced by ``mark``, spans that touch or overlap by one. Null texts stay null."""
-    found = find(docs, text)
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", limits: list[int | None] | None = None) -> DataFrame:
+    """``docs``, all of its columns, with every span of the text replaced by ``mark``, spans that touch or overlap by one. Null texts
+    stay null."""
+    base, every, cover = (spare(docs, n) for n in ("_base_spans", "_all_spans", "_cover"))
+    found = _spans(docs, text, docs.columns, base, every, limits)
     start = F.array().cast("array<struct<start:int,end:int>>")
 
     def merge(a: Column, s: Column) -> Column:
@@ -287,8 +298,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
         joined = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s.end).alias("end"))))
         return F.when((F.size(a) > 0) & (s.start <= last["end"]), joined).otherwise(F.concat(a, F.array(F.struct(s.start.alias("start"), s.end.alias("end")))))
 
-    merged = found.withColumn("_cover", F.aggregate("all_spans", start, merge))
-    whole, n = F.col(f"`{text}`"), F.size("_cover")
-    part = lambda i: F.substring(whole, F.when(i == 0, 1).otherwise(F.try_element_at(F.col("_cover"), i)["end"] + 1), F.when(i == n, F.length(whole)).otherwise(F.try_element_at(F.col("_cover"), i + 1)["start"]) - F.when(i == 0, 0).otherwise(F.try_element_at(F.col("_cover"), i)["end"]))
+    merged = found.withColumn(cover, F.aggregate(every, start, merge))
+    whole, n = named(text), F.size(cover)
+    part = lambda i: F.substring(whole, F.when(i == 0, 1).otherwise(F.try_element_at(F.col(cover), i)["end"] + 1), F.when(i == n, F.length(whole)).otherwise(F.try_element_at(F.col(cover), i + 1)["start"]) - F.when(i == 0, 0).otherwise(F.try_element_at(F.col(cover), i)["end"]))
     clean = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n), part), mark)).otherwise(whole)
-    return merged.select(*(clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+    return merged.select(*(clean.alias(c) if c.lower() == text.lower() else named(c) for c in docs.columns))
