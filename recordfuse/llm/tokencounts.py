@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, text_of, tokenizer_path
+from .runtime import named, prepare, slices, text_of, tokenizer_path
 
 RANKS = "byte_bpe_50k.tiktoken"
 RULES = ("start", "end", "most", "share")
@@ -108,11 +108,11 @@ def count(docs: DataFrame, key: str = "doc_id", text: str = "text", sections: st
         raise ValueError(f"rule is one of {', '.join(RULES)}")
     prepare(docs.sparkSession)
     given = [] if sections is None else [F.col(f"{sections}.begins").cast("array<bigint>"), F.col(f"{sections}.ends").cast("array<bigint>")]
-    rows = docs.select(F.col(key), text_of(text).alias("_text"), *(c.alias(f"_s{i}") for i, c in enumerate(given)))
+    rows = docs.select(named(key), text_of(text).alias("_text"), *(c.alias(f"_s{i}") for i, c in enumerate(given)))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks if "/" in ranks else tokenizer_path(ranks))
-        for x in batches:
+        for x in slices(batches, 128):
             keys, out = [], [[] for _ in _NAMES]
             for i, t in enumerate(x.column(1).to_pylist()):
                 ids, first, after = encoder.spans(t)
@@ -132,9 +132,9 @@ def count(docs: DataFrame, key: str = "doc_id", text: str = "text", sections: st
 def count_fields(rows: DataFrame, key: str, fields: list[str], between: str = "\n", rule: str = "start", ranks: str = RANKS) -> DataFrame:
     """Tokens of the fields of a row that are written one after the other with ``between`` in the middle: a row for each
     field, ``section`` its place in ``fields``. What stands between belongs to no field; null fields are empty."""
-    parts = [F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")) for f in fields]
+    parts = [text_of(f) for f in fields]
     joined, at, spans = F.concat_ws(between, *parts), F.lit(0), []
     for p in parts:
         spans.append(F.struct(at.cast("long").alias("begins"), (at + F.length(p)).cast("long").alias("ends")))
         at = at + F.length(p) + len(between)
-    return count(rows.select(F.col(key), joined.alias("_joined"), F.array(*spans).alias("_fields")), key, "_joined", "_fields", rule, ranks)
+    return count(rows.select(named(key), joined.alias("_joined"), F.array(*spans).alias("_fields")), key, "_joined", "_fields", rule, ranks)
