@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import spread_join, written
+from ..storage import written
 
 
 def star_labels(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each end of an edge (a, b) reaches. Large and small stars in turn, each round a table
-    of its own; the number of rounds grows with the logarithm of the longest path. The many edges of a star's centre are dealt
-    to many tasks."""
+    of its own; the number of rounds grows with the logarithm of the longest path. The many edges of a star's centre meet its
+    smallest neighbour in an inner join, whose large partitions adaptive execution splits."""
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    least = lambda x: x.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least = lambda x: x.groupBy("u").agg(F.min("v").alias("m"))
     now = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = least(both).select("u", F.least("u", "m").alias("m"), "n")
-        large = written(spread_join(both, low, "u", ["v"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
-        joined = spread_join(large, least(large), "u", ["v"])
+        low = least(both).select("u", F.least("u", "m").alias("m"))
+        large = written(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        joined = large.join(least(large), "u")
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
         new = written(joined.select(F.explode(ends).alias("x")).select("x.*").filter("u <> v").distinct(), "edges")
         before, now = now, new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
