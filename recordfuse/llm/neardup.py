@@ -13,8 +13,8 @@
    of bounded size, and hot buckets are cut into many such pieces.
 
 Pairs inside one component are not looked for: they change no result. No group is gathered anywhere: classes, buckets
-and components are aggregated before they are shuffled, and what is known of a group is joined back to its rows in pieces,
-so that a bucket, component or group of copies with a third of all rows is dealt to many tasks.
+and components are aggregated before they are shuffled. What is known of a group is joined back to its rows by plain inner
+joins, whose large partitions adaptive execution splits, and where rows of a group have to meet, in pieces of bounded size.
 
 Defined results: null text counts as empty; a document without words has an empty set, links with nothing and keeps its
 own id; with fewer words than the shingle length the whole sequence is the only shingle; each row is judged by its own text,
@@ -43,7 +43,7 @@ BATCH = 20
 MISS = 1e-6
 TOP = 4
 #: Queries held by a task at once, and rows that it reads for them.
-BLOCK, RUN = 128, 1024
+BLOCK, RUN = 128, 512
 CACHED_WORDS = 300_000
 
 _LOWER = bytes(32 if 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -170,10 +170,9 @@ def _counted(rows: DataFrame, by: str) -> DataFrame:
 
 
 def _with_both(pairs: DataFrame, of: DataFrame, data: str) -> DataFrame:
-    """(a, b, left, right): what ``of`` (id, ``data``) has of both ends; an end with very many pairs is dealt to many tasks."""
+    """(a, b, left, right): what ``of`` (id, ``data``) has of both ends. (Adaptive execution splits an end with very many pairs.)"""
     side = lambda end, name: of.select(F.col("id").alias(end), F.col(data).alias(name))
-    one = spread_join(pairs, side("b", "right"), "b", ["a"], counts=_counted(pairs, "b"))
-    return spread_join(one, side("a", "left"), "a", ["b"], counts=_counted(pairs, "a")).select("a", "b", "left", "right")
+    return pairs.join(side("b", "right"), "b").join(side("a", "left"), "a").select("a", "b", "left", "right")
 
 
 def _pruned(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
@@ -210,8 +209,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 def _leaders(buckets: DataFrame) -> DataFrame:
     """Candidates (a, b): every member of a bucket with its smallest and with one drawn by hash."""
     by = F.struct(F.xxhash64("id", "key").alias("h"), F.col("id"))
-    heads = buckets.groupBy("key").agg(F.min("id").alias("low"), F.min(by)["id"].alias("drawn"), F.count("*").alias("n"))
-    both = spread_join(buckets, heads, "key", ["id"]).select("id", F.explode(F.array_distinct(F.array("low", "drawn"))).alias("head"))
+    heads = buckets.groupBy("key").agg(F.min("id").alias("low"), F.min(by)["id"].alias("drawn"))
+    both = buckets.join(heads, "key").select("id", F.explode(F.array_distinct(F.array("low", "drawn"))).alias("head"))
     return both.filter("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
 
 
@@ -252,8 +251,8 @@ def _rest(buckets: DataFrame, signatures: DataFrame, labels: DataFrame, texts: D
     """Links (a, b) between components. In every bucket that holds several, all members are compared with those outside
     its largest component; what survives is verified with the survivors around the same largest component."""
     own = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    heads = own.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component"))["component"].alias("main"), F.count("*").alias("kinds"), F.sum("count").alias("n"))
-    opened = spread_join(own, heads.filter("kinds > 1"), "key", ["id"]).join(signatures.select("id", F.col("signature").alias("data")), "id")
+    heads = own.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component"))["component"].alias("main"), F.count("*").alias("kinds"))
+    opened = own.join(heads.filter("kinds > 1"), "key").join(signatures.select("id", F.col("signature").alias("data")), "id")
     opened = written(opened.select("key", "id", F.struct("component", "main").alias("tag"), "data"), "neardup-open")
     threshold = percent / 100
     alike = _met(opened.filter("tag.component <> tag.main"), opened, "key", lambda: _Alike(threshold), "main bigint, id bigint, component bigint, query bigint")
@@ -315,12 +314,11 @@ class _Linked:
         return [(min(own, int(i)), max(own, int(i))) for i in ids[hit]]
 
 
-def _texts(docs: DataFrame, key: str, text: str, signed: DataFrame, classes: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, key: str, text: str, classes: DataFrame) -> DataFrame:
     """(id, text): of each class of sets the text of the row that stands for it."""
     rows = docs.select(*_place(key, text_of(text)), text_of(text).alias("text")).select(_place_key().alias("k"), "text")
     stand = classes.select(_place_key().alias("k"), "class")
-    found = spread_join(rows, stand, "k", [F.monotonically_increasing_id()], counts=_counted(signed.select(_place_key().alias("k")), "k"))
-    return found.groupBy(F.col("class").alias("id")).agg(F.min("text").alias("text"))
+    return rows.join(stand, "k").groupBy(F.col("class").alias("id")).agg(F.min("text").alias("text"))
 
 
 def _grouped(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
@@ -329,37 +327,37 @@ def _grouped(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
     threshold = percent / 100
     signed = written(_signed(docs, key, text, words), "neardup-signed")
     stand = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "h", "n", "signature")).alias("s")
-    classes = signed.filter("set_key is not null").groupBy("set_key").agg(stand, F.count("*").alias("copies"))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("class"), "s.id", "s.h", "s.n", "s.signature", "set_key", "copies"), "neardup-classes")
+    classes = signed.filter("set_key is not null").groupBy("set_key").agg(stand)
+    classes = written(classes.select(F.monotonically_increasing_id().alias("class"), "s.id", "s.h", "s.n", "s.signature", "set_key"), "neardup-classes")
     # Sets of up to three shingles link with equal sets alone when the threshold is over three quarters.
     few = 0 if threshold <= 0.75 else 3
     signatures = classes.filter(F.col("n") > few).select(F.col("class").alias("id"), "signature")
     bands = signatures.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * ROWS + 1, F.lit(ROWS))))).alias("key"))
     shared = _counted(bands, "key").filter("n > 1")
-    buckets = written(spread_join(bands, shared, "key", ["id"]).select("id", "key"), "neardup-buckets")
+    buckets = written(bands.join(shared.select("key"), "key").select("id", "key"), "neardup-buckets")
 
     leaders = written(_leaders(buckets), "neardup-leaders")
     best = Window.partitionBy("b").orderBy(F.desc("matches"), "a")
     first = _pruned(leaders, signatures, threshold).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= TOP).select("a", "b")
     first = written(first, "neardup-first")
-    texts = written(_texts(docs, key, text, signed, classes.join(buckets.select(F.col("id").alias("class")).distinct(), "class", "left_semi")), "neardup-texts")
+    texts = written(_texts(docs, key, text, classes.join(buckets.select(F.col("id").alias("class")).distinct(), "class", "left_semi")), "neardup-texts")
     labels = written(star_labels(_verified(first, texts, words, percent)), "neardup-labels")
 
     more = _rest(buckets, signatures, labels, texts, words, percent)
     label = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     above = written(star_labels(joined).select(F.col("id").alias("component"), F.col("component").alias("over")), "neardup-above")
-    final = spread_join(labels, above, "component", ["id"], "left", _counted(labels, "component")).select("id", F.coalesce("over", "component").alias("root"))
+    final = labels.join(above, "component", "left").select("id", F.coalesce("over", "component").alias("root"))
     alone = above.join(labels.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("over").alias("root"))
     linked = final.union(alone).withColumnRenamed("id", "class").join(classes.select("class", "id"), "class")
     linked = written(linked, "neardup-linked")
-    tops = linked.groupBy("root").agg(F.min("id").alias("top"), F.count("*").alias("n"))
-    roots = spread_join(linked, tops, "root", ["class"]).select("class", "root", "top")
+    tops = linked.groupBy("root").agg(F.min("id").alias("top"))
+    roots = linked.join(tops, "root").select("class", "root", "top")
     told = classes.join(roots, "class", "left").select(
-        "set_key", F.coalesce("root", "class").alias("root"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("top")).alias("component_id"), F.col("copies").alias("n")
+        "set_key", F.coalesce("root", "class").alias("root"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("top")).alias("component_id")
     )
     rows = signed.drop("signature").withColumnRenamed("n", "size")
-    full = spread_join(rows.filter("set_key is not null"), told, "set_key", ["id", "h"]).select("id", "h", "size", "root", "component_id")
+    full = rows.filter("set_key is not null").join(told, "set_key").select("id", "h", "size", "root", "component_id")
     empty = rows.filter("set_key is null").select("id", "h", "size", F.lit(None).cast("long").alias("root"), F.col("id").alias("component_id"))
     return full.union(empty).withColumnRenamed("size", "n")
 
@@ -385,6 +383,6 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     many = copies.filter("n > 1").select(F.col("k").alias(k), F.lit(True).alias("_many"))
     kept = kept.select(_place_key().alias(k)).join(many, k, "left").select(k, F.coalesce("_many", F.lit(False)).alias("_many"))
     mark = spare(docs, "_many")
-    stay = spread_join(rows, kept.withColumnRenamed("_many", mark), k, [F.monotonically_increasing_id()], counts=copies.withColumnRenamed("k", k))
+    stay = rows.join(kept.withColumnRenamed("_many", mark), k)
     one = stay.filter(named(mark)).groupBy(k).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("_row")).select("_row.*")
     return stay.filter(~named(mark)).select(*own).union(one.select(*own))
