@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import dates, names, phones, skills, text
-from .functions.language import detect_language
+from .functions.language import MARKERS, detect_language
 from .operators import fusion, graph, layout, linkage, views
 from .plans import projection
 from .schema import RANK, SKILL_RANK, TRUST, combined_confidence, rank
@@ -102,12 +103,31 @@ def x3(spark, d):
     return _docs(spark, d).select("doc_id", text.note_name(F.col("text")).alias("n")).select("doc_id", "n.value", "n.confidence")
 
 
-@query("x10_links")
+_URL = text.URL.replace("'", "''")
+_LINKS_SQL = rf"""
+with p as (select page_id, url || ' ' || html as x from pages),
+u as (select page_id, unnest(list_transform(regexp_extract_all(x, '{_URL}'), lambda v: regexp_replace(v, '[.,)>;]+$', ''))) as u, generate_subscripts(regexp_extract_all(x, '{_URL}'), 1) as pos from p),
+v as (select page_id, u, pos, regexp_matches(lower(u), 'portfolio|personal|me\.|blog|github\.io') as folio from u where not contains(u, 'linkedin.com') and not contains(u, 'github.com')),
+o as (select page_id, u, min(pos) as pos, row_number() over (partition by page_id order by min(pos)) as n from v where not folio group by page_id, u),
+others as (select page_id, string_agg(u, ' ' order by pos) as other, max(case when n = 5 then pos end) as full_at from o where n <= 5 group by page_id),
+f as (select page_id, arg_max(u, pos) as portfolio from v left join others using (page_id) where folio and (full_at is null or pos < full_at) group by page_id)
+select page_id, 'https://linkedin.com/in/' || nullif(regexp_extract(x, '{text.LINKEDIN}', 1), '') as linkedin,
+  case when lower(regexp_extract(x, '{text.GITHUB}', 1)) not in ('', 'settings', 'features', 'about', 'pricing', 'explore') then 'https://github.com/' || regexp_extract(x, '{text.GITHUB}', 1) end as github, portfolio, coalesce(other, '') as other
+from p left join others using (page_id) left join f using (page_id)"""
+
+
+@query("x10_links", _LINKS_SQL)
 def x10(spark, d):
     return fx.table(spark, d, "pages").select("page_id", text.links(F.concat_ws(" ", "url", "html")).alias("l")).select("page_id", "l.linkedin", "l.github", "l.portfolio", F.array_join("l.other", " ").alias("other"))
 
 
-@query("x11_location")
+_LOCATION_SQL = rf"""
+with l as (select doc_id, unnest(string_split(text, chr(10))[1:15]) as line, generate_subscripts(string_split(text, chr(10))[1:15], 1) as pos from documents),
+f as (select doc_id, pos, regexp_replace(regexp_extract(line, '{text.LOCATION}'), '^\s+|\s+$', '', 'g') as x from l)
+select doc_id, x as location from documents left join (select doc_id, arg_min(x, pos) as x from f where x <> '' and not regexp_matches(lower(x), 'present|{"|".join(text.MONTHS)}') group by doc_id) using (doc_id)"""
+
+
+@query("x11_location", _LOCATION_SQL)
 def x11(spark, d):
     return _docs(spark, d).select("doc_id", text.location(F.col("text")).alias("location"))
 
@@ -164,7 +184,15 @@ def n4(spark, d):
     return fx.people(spark, d).select("c", names.display_name(F.when(F.col("c") % 2 == 0, F.upper("name")).otherwise(F.lower("name"))).alias("name"))
 
 
-@query("n7_script", "select doc_id, 'latin' as script from documents")
+_SCRIPTS_SQL = (
+    "with s as (select doc_id, regexp_replace(text, '[\\s\\p{Z}]', '', 'g') as x from documents), k as (select doc_id, length(x) as every"
+    + "".join(f", length(x) - length(regexp_replace(x, '{r}', '', 'g')) as {n}" for n, r in names.SCRIPTS.items())
+    + " from s), m as (select *, every - latin - indic_arabic - cjk as rest from k) select doc_id, case when every = 0 then 'unknown' when latin >= greatest(indic_arabic, cjk, rest) then 'latin'"
+    " when indic_arabic >= greatest(cjk, rest) then 'indic_arabic' when cjk >= rest then 'cjk' else 'unknown' end as script from m"
+)
+
+
+@query("n7_script", _SCRIPTS_SQL)
 def n7(spark, d):
     return _docs(spark, d).select("doc_id", names.script_family(F.col("text")).alias("script"))
 
@@ -193,7 +221,16 @@ def n13(spark, d):
     return fx.people(spark, d).select("c", pair.alias("d")).select("c", dates.years_between(F.col("d.start"), F.col("d.end"), F.lit(AS_OF).cast("date")).alias("years"))
 
 
-@query("n14_language")
+_LANGUAGE_SQL = (
+    "with w as (select doc_id, lang, text, string_split_regex(lower(left(text, 500)), '[^\\p{L}]+') as l from documents), n as (select doc_id, lang, text"
+    + "".join(f", len(list_filter(l, lambda x: x in ({', '.join(repr(m) for m in own)}))) as n_{g}" for g, own in MARKERS.items())
+    + " from w) select doc_id, lang, case when length(trim(text)) < 20 then 'en'"
+    + "".join(f" when n_{g} = greatest({', '.join(f'n_{h}' for h in MARKERS)}) and n_{g} > 0 then '{g}'" for g in MARKERS)
+    + " else 'en' end as found from n"
+)
+
+
+@query("n14_language", _LANGUAGE_SQL)
 def n14(spark, d):
     return _docs(spark, d).select("doc_id", "lang", detect_language(F.col("text")).alias("found"))
 
@@ -221,14 +258,27 @@ def l1(spark, d):
     return rows.select("doc_id", "pos", layout.indent_level(F.col("raw")).alias("indent"))
 
 
-@query("l2_l3_tagged_lines")
+_TAGGED_SQL = rf"""
+with l as (select doc_id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) as raw, (generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) - 1)::int as pos from documents),
+t as (select *, regexp_replace(raw, '^\s+|\s+$', '', 'g') as s, length(replace(regexp_extract(raw, '^[ \t]*'), chr(9), '    ')) as lead from l),
+b as (select *, regexp_replace(s, ':+$', '') as bare, regexp_replace(s, ':$', '') as front, case when lead = 0 then 0 when lead < 4 then 1 when lead < 8 then 2 else 3 end as level from t),
+h as (select *, s <> '' and (lower(trim(bare)) in ({', '.join(repr(w) for w in layout.HEADINGS)}) or s = upper(s) and s <> lower(s) and length(bare) between 2 and 40
+  or ends_with(s, ':') and length(s) <= 50 and front <> lower(front) and front = array_to_string(list_transform(regexp_extract_all(lower(front), '\p{{L}}+|[^\p{{L}}]+'), lambda x: upper(x[1]) || x[2:]), '')) as head from b),
+g as (select *, case when s = '' then 'blank' when head then 'heading' when regexp_matches(s, '^[-*•◦▪·–—]\s+') or level >= 1 then 'bullet' else 'body' end as tag from h)
+select doc_id, pos, tag, (case when tag = 'blank' then 0 else level end)::int as indent_level, last_value(case when tag = 'heading' then trim(bare) end ignore nulls) over (partition by doc_id order by pos rows unbounded preceding) as section from g"""
+
+
+@query("l2_l3_tagged_lines", _TAGGED_SQL)
 def l3(spark, d):
     return layout.tag_lines(_docs(spark, d), "doc_id").select("doc_id", "pos", "tag", "indent_level", "section")
 
 
-@query("l4_section_text")
+@query("l4_section_text", "with " + fx.PEOPLE_SQL + " select c, '- ' || replace(skills, ',', chr(10) || '- ') || chr(10) || lower(role) as text from people")
 def l4(spark, d):
-    return layout.section_text(layout.tag_lines(_docs(spark, d), "doc_id"), "doc_id", "skills", "summary")
+    """Résumés of three sections, of which two are asked for; the one between them, blank lines and headings are left out."""
+    parts = F.concat(F.lit("Skills:\n- "), F.replace("skills", F.lit(","), F.lit("\n- ")), F.lit("\n\nEDUCATION\n  - "), F.col("employer"), F.lit("\n\t\nsummary\n"), F.lower("role"))
+    rows = fx.people(spark, d).select("c", parts.alias("text"))
+    return layout.section_text(layout.tag_lines(rows, "c"), "c", "SKILLS", "Summary")
 
 
 def _blocks(spark, d) -> DataFrame:
@@ -280,7 +330,34 @@ def j3(spark, d):
     return linkage.name_pairs(linkage.record_keys(fx.records(spark, d)))
 
 
-@query("j4_j7_gated_edges")
+
+
+def _alike() -> str:
+    """Names of the small tables' people who share an e-mail or a phone, in the order in which they are compared, and are alike."""
+    of = lambda c: "_".join(sorted((fx.FIRST[c % 6].lower(), (fx.LAST[c // 6 % 8] + chr(97 + c // 48 % 26) + chr(97 + c // 1248 % 26)).lower())))
+    groups: dict[tuple, set[int]] = {}
+    for c in range(1, 1501):
+        groups.setdefault(("phone", c // 2 % 100, c // 200 % 10000), set()).add(c)
+        if c % 11 == 0:
+            groups.setdefault(("email", c // 33), set()).add(c)
+    pairs = {(of(a), of(b)) for g in groups.values() for a in g for b in g if a != b}
+    return ", ".join(f"('{a}', '{b}')" for a, b in sorted(pairs) if difflib.SequenceMatcher(None, a, b).ratio() >= 0.5)
+
+
+_GATED_SQL = (
+    f"alike(na, nb) as (values {_alike()}), met as (select x.idx as a, y.idx as b, x.name_key as na, y.name_key as nb, x.email = y.email as by_email, x.phone = y.phone as by_phone from keys x join keys y on x.idx < y.idx and x.email = y.email"
+    " union select x.idx, y.idx, x.name_key, y.name_key, x.email = y.email, x.phone = y.phone from keys x join keys y on x.idx < y.idx and x.phone = y.phone),"
+    " gated as (select met.* from met left join alike using (na, nb) where na = nb or na is null or nb is null or alike.na is not null),"
+    f" named as ({_NAME_PAIRS}), found as (select a, b, case when by_phone then 2 else 1 end as r from gated union all select a, b, 3 from named), edges as (select a, b, max(r) as r from found group by a, b)"
+)
+_CLUSTERS_SQL = (
+    _GATED_SQL + ", both_ways as (select a, b from edges union all select b, a from edges), reach(id, node) as (select idx, idx from keys union select id, b from reach join both_ways on a = node),"
+    " tops as (select id as rec_idx, min(node) as root from reach group by id), digests as (select root, sha256(string_agg(rec_idx::varchar, ',' order by rec_idx::varchar)) as h from tops group by root),"
+    " cl as (select rec_idx, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] as cluster_id, root from tops join digests using (root))"
+)
+
+
+@query("j4_j7_gated_edges", "with " + fx.RECORDS_SQL + ", " + _GATED_SQL + " select a, b, ['email', 'phone', 'name'][r] as reason from edges")
 def j4(spark, d):
     return linkage.edges(linkage.record_keys(fx.records(spark, d)))
 
@@ -295,7 +372,7 @@ def g1(spark, d):
     return graph.connected_components(keys.select(F.col("rec_idx").alias("id")), found)
 
 
-@query("g2_resolve")
+@query("g2_resolve", "with recursive " + fx.RECORDS_SQL + ", " + _CLUSTERS_SQL + " select rec_idx, cluster_id, root from cl")
 def g2(spark, d):
     return linkage.resolve(fx.records(spark, d))
 
@@ -340,21 +417,55 @@ def a5(spark, d):
     return rows.select("candidate_id", F.lower("j.company").alias("company"), F.lower(F.coalesce("j.title", F.lit(""))).alias("title"))
 
 
-@query("a6_a8_education_links")
+DEGREES = (
+    ("Bachelor of Science in Physics, Lake College, 2010", "Lake College", "Bachelor of Science", "Physics", 2010),
+    ("M.A. in Old History, Hill University, 2014", "Hill University", "Master of Arts", "Old History", 2014),
+    ("Ph.D., Institute of Winds, 2019", "Institute of Winds", "Ph.D.", None, 2019),
+    ("B.Tech in Weaving, Vale School", "Vale School", "Bachelor of Technology", "Weaving", None),
+    ("bachelor in Physics, LAKE College, 1999", "LAKE College", "Bachelor of Science", "Physics", 1999),
+)
+_DEGREES_SQL = ", ".join("(%d, %s)" % (i, ", ".join("null" if x is None else repr(x) for x in d[1:])) for i, d in enumerate(DEGREES))
+
+
+@query(
+    "a6_education",
+    f"with v(i, institution, degree, field, end_year) as (values {_DEGREES_SQL}), r as (select 'g' || (page_id % 50) as k, page_id, unnest([page_id % 5, page_id * 3 % 4]) as i, unnest([0, 1]) as n from pages),"
+    " f as (select k as candidate_id, institution, degree, field, end_year, page_id * 2 + n as seen, row_number() over (partition by k, lower(institution), lower(degree) order by page_id * 2 + n) as rn from r join v using (i))"
+    " select candidate_id, (row_number() over (partition by candidate_id order by seen) - 1)::int as pos, institution, degree, field, end_year from f where rn = 1",
+)
 def a6(spark, d):
-    pages = fx.table(spark, d, "pages").select("page_id", "url", "html")
-    plain = F.concat_ws("\n", F.lit("Education"), F.lit("Bachelor of Science in Physics, Lake College, 2010"), F.col("url"))
+    """Two degrees for each page, equal ones within a page and a group; the first of equal ones stays."""
+    pages, lines = fx.table(spark, d, "pages").select("page_id"), F.array(*[F.lit(x[0]) for x in DEGREES])
+    line = lambda i: F.element_at(lines, (i + 1).cast("int"))
+    plain = F.concat_ws("\n", F.lit("Education"), line(F.col("page_id") % 5), F.lit("Gap year"), line(F.col("page_id") * 3 % 4), F.lit("Skills"), F.lit("Master of nothing"))
     rows = resume_records(pages.select(F.col("page_id").alias("rec_idx"), F.col("page_id").cast("string").alias("source_id"), plain.alias("text")))
     groups = pages.select(F.col("page_id").alias("rec_idx"), F.concat(F.lit("g"), (F.col("page_id") % 50).cast("string")).alias("cluster_id"))
-    return fusion.merge(rows, groups, F.lit(AS_OF).cast("date"), fuzzy=False).select("candidate_id", F.size("education").alias("n_degrees"), F.size("links.other").alias("n_links"), "links.portfolio")
+    found = fusion.merge(rows, groups, F.lit(AS_OF).cast("date"), fuzzy=False)
+    return found.select("candidate_id", F.posexplode("education").alias("pos", "e")).select("candidate_id", "pos", "e.institution", "e.degree", "e.field", "e.end_year")
+
+
+_JOBS_SQL = f"jobs as (select k, lower(employer) as company, lower(coalesce(role, '')) as title, arg_min({{s}}, idx) as s, arg_min({{e}}, idx) as e from (select *, {_MONTHS_SQL} as sm, {_ENDS_SQL} as em from r) group by all)"
+_JOBS_SQL = _JOBS_SQL.replace("arg_min({s}, idx)", "arg_min({'v': sm}, idx).v").replace("arg_min({e}, idx)", "arg_min({'v': em}, idx).v")
 
 
-@query("a7_years")
+@query("a7_years", _MERGED + ", " + _JOBS_SQL + f", turned as (select k, case when e <> 'present' and s > e then e else s end as s, case when e <> 'present' and s > e then s else e end as e from jobs), y as (select k, coalesce({_YEARS}, 0) as years from turned) select k as candidate_id, case when sum(years) > 0 then round(sum(years), 1) end::double as years_experience from y group by k")
 def a7(spark, d):
     return _merged(spark, d).select("candidate_id", "years_experience")
 
 
-@query("a9_provenance")
+_PROVENANCE_SQL = (
+    _MERGED
+    + ", o as (select *, case src when 'ats_json' then 0 else 1 end as rank, case src when 'ats_json' then 0.95 else 0.9 end as trust from r),"
+    " s as (select *, trim(unnest(string_split(skills, ','))) as raw, unnest(range(len(string_split(skills, ',')))) as place from o),"
+    f" f as (select k, 0 as n, '' as key, 'full_name' as field, idx as seen, 0 as place, src, 'direct_field' as method, name as raw, trust as c, rank, sid as tie from o"
+    " union all select k, 1, lower(email), 'emails[' || lower(email) || ']', idx, 0, src, 'direct_field', email, trust, rank, lpad(idx::varchar, 20, '0') from o where email is not null"
+    " union all select k, 2, p, 'phones[' || p || ']', idx, 0, src, 'regex', phone, round(trust * 0.6, 4), rank, lpad(idx::varchar, 20, '0') from (select *, '+1' || regexp_replace(phone, '[^0-9]', '', 'g') as p from o where phone is not null)"
+    f" union all select k, 4, n, 'skills[' || n || ']', idx, place, src, 'direct_field', raw, 0.8075, 0, lpad(idx::varchar, 20, '0') || lpad(place::varchar, 5, '0') from (select *, {_SKILL_SQL.replace('trim(s)', 'raw')} as n from s where raw <> '')),"
+    " best as (select k, n, key, min(seen * 100 + place) as first, arg_min({'field': field, 'source': src, 'method': method, 'raw_value': raw, 'confidence': c::double}, rank || tie) as v from f group by k, n, key)"
+)
+
+
+@query("a9_provenance", _PROVENANCE_SQL + " select k as candidate_id, (row_number() over (partition by k order by n, first) - 1)::int as pos, v.field, v.source, v.method, v.raw_value, v.confidence from best")
 def a9(spark, d):
     return fusion.provenance_rows(_merged(spark, d))
 
@@ -377,11 +488,16 @@ def a11(spark, d):
     return _merged(spark, d).select("candidate_id", F.array_join("source_records_merged", ",").alias("sources"))
 
 
-@query("a12_candidates")
+@query(
+    "a12_candidates",
+    "with recursive " + fx.RECORDS_SQL + ", " + _CLUSTERS_SQL + ", r as (select cluster_id as k, records.* from records join cl on rec_idx = idx)" + _OVERALL.removeprefix(_MERGED)
+    + f", n as (select k, arg_min(name, lpad(({_ORDER})::varchar, 2, '0') || sid) as full_name from r group by k), m as (select k, string_agg(email, ',' order by seen) as emails from (select k, lower(email) as email, min(idx) as seen from r where email is not null group by 1, 2) group by k),"
+    " o as (select k, round(round(avg(c), 4), 3) as overall_confidence from v group by k) select k as candidate_id, full_name, coalesce(emails, '') as emails, overall_confidence from n left join m using (k) join o using (k)",
+)
 def a12(spark, d):
     """Link and fuse: the whole path from records to candidates."""
     found = fx.records(spark, d)
-    return fusion.merge(found, linkage.resolve(found), F.lit(AS_OF).cast("date"), fuzzy=False).select("candidate_id", "full_name", F.array_join("emails", ",").alias("emails"), "overall_confidence")
+    return fusion.merge(found, linkage.resolve(found), F.lit(AS_OF).cast("date"), fuzzy=False).select("candidate_id", "full_name", F.array_join("emails", ",").alias("emails"), F.round("overall_confidence", 3).alias("overall_confidence"))
 
 
 # Projection and views ----------------------------------------------------------------------------------------------
@@ -393,6 +509,13 @@ def r1(spark, d):
     return projection.project(_merged(spark, d), how)[0]
 
 
+@query("r3_r6_phone", _PROVENANCE_SQL + ", p as (select k, n, key, first, v.confidence as c from best where n = 2) select case when count(*) > 0 then arg_min(key, first) end as phone, round(avg(c), 4)::double as phone_confidence, null::varchar as mail from (select distinct k from r) left join p using (k) group by k")
+def r3(spark, d):
+    """A list's first entry with a normalisation that lets it pass and its mean confidence, and one that does not let it pass."""
+    how = projection.load({"fields": [{"path": "phone", "from": "phones[0]", "normalize": "E164"}, {"path": "mail", "from": "emails[0]", "normalize": "E164"}], "include_confidence": True})
+    return projection.project(_merged(spark, d), how)[0].select("phone", "phone_confidence", "mail")
+
+
 @query("r6_r7_projection")
 def r6(spark, d):
     how = projection.load({"fields": [{"path": "phone", "from": "phones[0]", "normalize": "E164"}, {"path": "skills", "from": "skills[] name"}], "include_confidence": True, "include_provenance": True, "on_missing": "omit"})
