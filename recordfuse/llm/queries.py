@@ -69,4 +69,21 @@ QUERIES: dict[str, Query] = {
     "op6_sentencepiece": op6_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+with d as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, payload_digest, case when first <> page_id then 'revisit' else 'response' end as record_type, case when first <> page_id then first end as refers_to
+from d left join f using (payload_digest)""",
+    "op8_neardup": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as l from documents),
+s as (select distinct doc_id, unnest(case when len(l) = 0 then [] when len(l) = 1 then l else list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]) end) as x from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+sized as (select doc_id, x, n from s join n using (doc_id)),
+met as (select a.doc_id as a, b.doc_id as b, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb from sized a join sized b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by 1, 2),
+links as (select a, b from met where 100 * c >= 80 * (na + nb - c)),
+e as (select a, b from links union all select b, a from links),
+reach(id, node) as (select doc_id, doc_id from documents union select id, b from reach join e on a = node),
+top as (select id, min(node) as component_id from reach group by id)
+select doc_id, coalesce(n.n, 0) as n_shingles, component_id, doc_id = component_id as kept from documents left join n using (doc_id) join top on id = doc_id""",
+}
