@@ -78,7 +78,7 @@ def name_key(c: Column, foreign: bool = True) -> Column:
 def titled(c: Column) -> Column:
     """Every run of letters with a capital in front and small letters after it."""
     runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 100_000))), "")
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))), "")
 
 
 def display_name(c: Column, foreign: bool = True) -> Column:

@@ -163,7 +163,7 @@ def resume_name(c: Column, stem: Column, person: Column | None = None) -> Column
     plain = F.transform(F.slice(lines(c), 1, 5), lambda x: trimmed(F.regexp_replace(x, r"(?U)[^\w\s-]", "")))
     layers.append(value(first(F.filter(plain, fits)), "regex", 0.85))
     kept = F.filter(words(F.translate(stem, "_-", "  ")), lambda w: ~F.lower(w).isin(*STEM_STOPS))
-    titled = F.array_join(F.transform(kept, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000)))), " ")
+    titled = F.array_join(F.transform(kept, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), " ")
     layers.append(value(F.when(F.size(kept).between(2, 4), titled), "regex", 0.70))
     return F.coalesce(*layers)
 
@@ -210,24 +210,36 @@ def _inline(pattern: str) -> str:
 
 
 def experience(c: Column) -> Column:
-    """array of jobs: a line with a range of dates begins one, the lines up to the next belong to it."""
-    body = F.split(section(c, JOBS_BEGIN, JOBS_END), "\n")
-    starts = F.filter(F.sequence(F.lit(1), F.size(body)), lambda i: F.element_at(body, i).rlike(DATE_RANGE))
+    """array of jobs: a line with a range of dates begins one, the lines up to the next belong to it. Lines and the places of
+    those with dates are computed once."""
 
-    def job(i: Column, k: Column) -> Column:
+    def job(body: Column, starts: Column, k: Column) -> Column:
+        i = F.element_at(starts, k + 1)
         line = F.element_at(body, i)
         until = F.coalesce(F.get(starts, k + 1), F.size(body) + 1)
         left = trimmed(F.regexp_replace(trimmed(F.regexp_replace(line, DATE_RANGE, "")), r"[|\-•,;]+", " "))
-        at, w = F.instr(left, " at "), words(left)
         rest = F.array_join(F.filter(F.transform(F.slice(body, i + 1, until - i - 1), trimmed), lambda x: x != ""), " ")
-        title = F.when(at > 0, trimmed(F.substring(left, F.lit(1), at - 1))).when(F.size(w) > 2, F.array_join(F.slice(w, 1, 2), " ")).otherwise(left)
-        company = F.when(at > 0, trimmed(F.substring(left, at + 4, F.length(left)))).when(F.size(w) > 2, F.array_join(F.slice(w, F.lit(3), F.size(w)), " "))
-        return F.struct(
-            company.alias("company"), title.alias("title"), F.regexp_extract(line, DATE_RANGE, 1).alias("start"), F.regexp_extract(line, DATE_RANGE, 2).alias("end"),
-            F.when(F.length(rest) > 500, F.concat(F.substring(rest, 1, 497), F.lit("..."))).otherwise(none_if_empty(rest)).alias("summary"),
-        )
+        return bound(F.struct(line.alias("line"), left.alias("left"), words(left).alias("w"), rest.alias("rest")), _job)
+
+    def jobs(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(x["starts"]) - 1), lambda k: job(x["body"], x["starts"], k))
+
+    def with_starts(body: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.size(body)), lambda i: F.element_at(body, i).rlike(DATE_RANGE))
+        return F.struct(body.alias("body"), places.alias("starts"))
 
-    return F.coalesce(F.when(F.size(starts) > 0, F.transform(starts, job)), F.array()).cast(f"array<{JOB}>")
+    found = bound(bound(F.split(section(c, JOBS_BEGIN, JOBS_END), "\n"), with_starts), lambda x: F.when(F.size(x["starts"]) > 0, jobs(x)))
+    return F.coalesce(found, F.array()).cast(f"array<{JOB}>")
+
+
+def _job(x: Column) -> Column:
+    left, w, rest, at = x["left"], x["w"], x["rest"], F.instr(x["left"], " at ")
+    title = F.when(at > 0, trimmed(F.substring(left, F.lit(1), at - 1))).when(F.size(w) > 2, F.array_join(F.slice(w, 1, 2), " ")).otherwise(left)
+    company = F.when(at > 0, trimmed(F.substring(left, at + 4, F.length(left)))).when(F.size(w) > 2, F.array_join(F.slice(w, F.lit(3), F.size(w)), " "))
+    return F.struct(
+        company.alias("company"), title.alias("title"), F.regexp_extract(x["line"], DATE_RANGE, 1).alias("start"), F.regexp_extract(x["line"], DATE_RANGE, 2).alias("end"),
+        F.when(F.length(rest) > 500, F.concat(F.substring(rest, 1, 497), F.lit("..."))).otherwise(none_if_empty(rest)).alias("summary"),
+    )
 
 
 def education(c: Column) -> Column:

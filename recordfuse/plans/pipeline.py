@@ -5,16 +5,15 @@ from __future__ import annotations
 import datetime
 from dataclasses import dataclass, field
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.fusion import merge
-from ..storage import written
+from ..storage import files_at, written
 from ..operators.linkage import resolve
 from ..sources import readers
-from .projection import Projection, project
-from .snapshot import make_run_id, write_snapshot
+from .projection import Projection, as_json, project
+from .snapshot import make_run_id, write_projected, write_snapshot
 
 
 @dataclass
@@ -29,25 +28,43 @@ class RunResult:
     run_id: str | None = None
 
 
-def run(spark: SparkSession, inputs: dict[str, str], how: Projection | None = None, output: str | None = None, run_ts: str | None = None, as_of: str | None = None) -> RunResult:
-    """``inputs``: kind of source to path. A source that cannot be read is skipped, with the reason; without any records
-    the run ends early."""
+#: Kinds that have a file for each record, by the files' pattern.
+FOLDERS = {"recruiter_notes": "*.txt", "resume": "*"}
+
+
+def _share(spark: SparkSession, kind: str, path: str, used: int) -> str:
+    """How many of a folder's files gave a record."""
+    names = files_at(spark, path, FOLDERS[kind]) if kind in FOLDERS and "*" not in path else None
+    return f", {used}/{len(names)} files" if names else ""
+
+
+def _missing(spark: SparkSession, kind: str, path: str) -> str:
+    """What is known of a folder that gave nothing."""
+    if kind not in FOLDERS or "*" in path:
+        return ""
+    names = files_at(spark, path, FOLDERS[kind])
+    return ": directory missing" if names is None else ": no files found" if not names else ": 0 files yielded usable records"
+
+
+def run(spark: SparkSession, inputs: dict[str, str], how: Projection | None = None, output: str | None = None, run_ts: str | None = None, as_of: str | None = None, projected: str | None = None) -> RunResult:
+    """``inputs``: kind of source to path. A source that cannot be read, whatever its reader raises, is skipped, with the reason;
+    without any records the run ends early. ``projected``: where JSON lines of the projection go."""
     out, found = RunResult(), []
     for kind, reader in readers.REGISTRY.items():
         if kind not in inputs:
             continue
         try:
             records = written(reader(spark, inputs[kind]), "records")
-            n = records.agg(F.count("*")).first()[0]
-        except PySparkException as e:
+            n, files = records.agg(F.count("*"), F.countDistinct("source_id")).first()
+        except Exception as e:  # noqa: BLE001  one source does not end the run
             out.errors.append(f"{kind}: {type(e).__name__}")
-            out.sources_skipped.append(f"{kind} (unreadable)")
+            out.sources_skipped.append(f"{kind} (unreadable{_missing(spark, kind, inputs[kind])})")
             continue
         if n:
             found.append(records)
-            out.sources_processed.append(f"{kind} ({n} records)")
+            out.sources_processed.append(f"{kind} ({n} records{_share(spark, kind, inputs[kind], files)})")
         else:
-            out.sources_skipped.append(f"{kind} (empty or missing)")
+            out.sources_skipped.append(f"{kind} (empty or missing{_missing(spark, kind, inputs[kind])})")
     if not found:
         out.errors.append("no records")
         return out
@@ -60,4 +77,6 @@ def run(spark: SparkSession, inputs: dict[str, str], how: Projection | None = No
     if output:
         out.snapshot_path = write_snapshot(out.candidates, output, out.run_id, ts)
     out.projected, out.projection_errors = project(out.candidates, how)
+    if projected:
+        write_projected(as_json(out.projected, how.on_missing if how else "null"), projected)
     return out

@@ -12,6 +12,7 @@ from ..functions.language import detect_language
 from ..functions.skills import canonical_each, find_skills
 from ..operators.layout import SKILL_SECTIONS, tagged_array
 from ..schema import JOB, VALUE, completed, value
+from ..storage import files_at
 
 # Headers that name a field.
 HEADERS = {
@@ -97,23 +98,76 @@ def read_ats(spark: SparkSession, path: str) -> DataFrame:
     return ats_records(numbered.select("rec_idx", "source_id", *[F.try_variant_get("item", p, "string").alias(n) for n, p in ATS_FIELDS.items()]))
 
 
-def note_skills(text: Column, fuzzy: bool = True) -> Column:
-    """Skills of the whole text, then of lines under a heading for skills (and such a line as a whole, less sure); each name
+#: What a user can put in: ``ner``, a function from a text column to array<struct<label, text, score>> (labels PERSON and SKILL are used);
+#: ``chunks``, one to array<string> of noun phrases; ``language``, one to a language code; ``pdf_text``, as ``read_resumes`` takes it.
+PLUGINS: dict[str, Callable] = {}
+NER_CHARS, CHUNK_CHARS, NER_LEAST = 4000, 5000, 0.4
+_ENTITY = "array<struct<label:string,text:string,score:double>>"
+
+
+def register_plugin(name: str, function: Callable | None) -> None:
+    """Puts a plug-in in, or with None takes it out again."""
+    if name not in ("ner", "chunks", "language", "pdf_text"):
+        raise ValueError(f"no plug-in is called {name}")
+    PLUGINS.pop(name, None)
+    if function is not None:
+        PLUGINS[name] = function
+
+
+def entities(text: Column, chars: int = NER_CHARS) -> Column:
+    """What the recogniser finds in the first characters and is sure enough of; an empty list without one."""
+    if "ner" not in PLUGINS:
+        return F.array().cast(_ENTITY)
+    found = PLUGINS["ner"](F.substring(text, 1, chars)).cast(_ENTITY)
+    return F.coalesce(F.filter(found, lambda e: (e.score >= NER_LEAST) & (t.trimmed(e.text) != "")), F.array().cast(_ENTITY))
+
+
+def person(found: Column) -> Column:
+    """The surest person, of equally sure ones the first."""
+    best = F.aggregate(F.filter(found, lambda e: F.upper(e.label) == "PERSON"), F.lit(None).cast("struct<label:string,text:string,score:double>"), lambda a, e: F.when(a.isNull() | (e.score > a.score), e).otherwise(a))
+    return value(t.trimmed(best["text"]), "ner_gliner", best["score"])
+
+
+def note_skills(text: Column, fuzzy: bool = True, found: Column | None = None, chunks: Column | None = None) -> Column:
+    """Skills of the whole text, then of lines under a heading for skills (and such a line as a whole, less sure), then those that a
+    recogniser found, as the dictionary knows them or as they stand, then noun phrases that the dictionary knows; each name
     once, where it was first found, with the most that it was sure."""
     own = F.filter(tagged_array(text), lambda x: F.lower(x.section).isin(*SKILL_SECTIONS) & (x.tag == "body"))
     lines = F.transform(own, lambda x: F.regexp_replace(t.trimmed(x.raw), "^[-•*▪·–— \t]+", ""))
     parts = F.concat(find_skills(text), F.flatten(F.transform(lines, find_skills)))
     whole = F.array_compact(canonical_each(lines, fuzzy))
     sure, less = F.array_distinct(parts), F.array_except(whole, parts)
-    return F.concat(t.as_values(sure, "skill_trie", 0.85), t.as_values(less, "skill_trie", 0.8))
+    out = F.concat(t.as_values(sure, "skill_trie", 0.85), t.as_values(less, "skill_trie", 0.8))
+    if found is None and chunks is None:
+        return out
+    more = [out]
+    if found is not None:
+        named = F.filter(found, lambda e: F.upper(e.label) == "SKILL")
+        raw = F.transform(named, lambda e: t.trimmed(e.text))
+        known = F.zip_with(canonical_each(raw, fuzzy), raw, lambda k, r: F.coalesce(k, r))
+        more.append(F.zip_with(known, named, lambda k, e: F.struct(k.alias("value"), F.lit("ner_gliner").alias("method"), e.score.alias("confidence"))))
+    if chunks is not None:
+        more.append(t.as_values(F.array_compact(canonical_each(F.coalesce(chunks, F.array().cast("array<string>")), fuzzy)), "ner_spacy", 0.4))
+    every = F.concat(*more)
+
+    def surest(name: Column, of: Column) -> Column:
+        return F.aggregate(F.filter(of, lambda v: v.value == name), F.lit(None).cast(VALUE), lambda a, v: F.when(a.isNull() | (v.confidence > a.confidence), v).otherwise(a))
+
+    return t.bound(every, lambda of: F.transform(F.array_distinct(F.transform(of, lambda v: v.value)), lambda n: surest(n, of)))
 
 
 def note_records(notes: DataFrame, compat: bool = False) -> DataFrame:
     """From (rec_idx, source_id, text). Notes in which nothing is found are dropped."""
     rows = notes.select("rec_idx", "source_id", t.normal_lines(F.col("text")).alias("text")).filter(t.trimmed(F.col("text")) != "")
+    found, chunks = (F.col("found"), person(F.col("found"))) if "ner" in PLUGINS else (None, None), None
+    if "ner" in PLUGINS:
+        rows = rows.withColumn("found", entities(F.col("text")))
+    if "chunks" in PLUGINS:
+        rows, chunks = rows.withColumn("chunks", PLUGINS["chunks"](F.substring("text", 1, CHUNK_CHARS)).cast("array<string>")), F.col("chunks")
+    language = PLUGINS.get("language", detect_language)
     got = rows.select(
-        "rec_idx", "source_id", t.note_name(F.col("text"), compat=compat).alias("name"), t.as_values(t.emails(F.col("text")), "regex", 0.9).alias("emails"),
-        t.as_values(t.phones(F.col("text")), "regex", 0.6).alias("phones"), note_skills(F.col("text")).alias("skills"), detect_language(F.col("text")).alias("lang"),
+        "rec_idx", "source_id", t.note_name(F.col("text"), found[1], compat).alias("name"), t.as_values(t.emails(F.col("text")), "regex", 0.9).alias("emails"),
+        t.as_values(t.phones(F.col("text")), "regex", 0.6).alias("phones"), note_skills(F.col("text"), True, found[0], chunks).alias("skills"), language(F.col("text")).alias("lang"),
     )
     got = got.filter("name is not null or size(emails) > 0 or size(phones) > 0 or size(skills) > 0")
     return completed(
@@ -133,10 +187,14 @@ def resume_records(resumes: DataFrame) -> DataFrame:
     rows = resumes.select("rec_idx", "source_id", text.alias("text")).withColumn("jobs", t.experience(F.col("text")))
     c, full = F.col("text"), t.trimmed(F.col("text")) != ""
     stem = F.regexp_replace("source_id", r"\.[^.]*$", "")
+    named = None
+    if "ner" in PLUGINS:
+        rows = rows.withColumn("found", entities(F.col("text"), 2000))
+        named = person(F.col("found"))
     when = lambda v, kind: F.when(full, v).otherwise(F.lit(None).cast(kind))
     items = lambda v: F.when(full, v).otherwise(F.array().cast(f"array<{VALUE}>"))
     return completed(
-        rows, source_type=F.lit("resume"), source_id=F.col("source_id"), full_name=when(t.resume_name(c, stem), VALUE), emails=items(t.as_values(t.emails(c), "regex", 0.95)),
+        rows, source_type=F.lit("resume"), source_id=F.col("source_id"), full_name=when(t.resume_name(c, stem, named), VALUE), emails=items(t.as_values(t.emails(c), "regex", 0.95)),
         phones=items(t.as_values(t.phones(c), "regex", 0.9)), location_raw=when(value(t.location(c), "regex", 0.8), VALUE), links=F.when(full, t.links(c)),
         skills_raw=items(t.as_values(find_skills(c), "skill_trie", 0.85)), headline=when(t.headline(c, F.col("jobs")), VALUE), experience_raw=F.col("jobs"), education_raw=t.education(c),
         parse_errors=F.when(full, F.array().cast("array<string>")).otherwise(F.array(F.lit("empty_resume_text"))),
@@ -144,7 +202,8 @@ def resume_records(resumes: DataFrame) -> DataFrame:
 
 
 def read_resumes(spark: SparkSession, path: str, to_text: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Text files, or any files with ``to_text``: (source_id, content) to (source_id, text)."""
+    """Text files, or any files with ``to_text`` (or the plug-in ``pdf_text``): (source_id, content) to (source_id, text)."""
+    to_text = to_text or PLUGINS.get("pdf_text")
     if to_text is None:
         files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_id"), F.col("value").alias("text"))
     else:
@@ -168,3 +227,12 @@ def union_sources(found: list[DataFrame]) -> DataFrame:
         own = df.withColumn("rec_idx", F.col("rec_idx") + F.lit(i << 56))
         out = own if out is None else out.unionByName(own)
     return out
+
+
+#: Folders of inputs below one root, as ``list_inputs`` knows them: kind, folder, pattern.
+INPUTS = (("recruiter_csv", "", "*.csv"), ("ats_json", "", "*.json"), ("recruiter_notes", "notes", "*.txt"), ("resume", "resumes", "*.pdf"))
+
+
+def list_inputs(spark: SparkSession, root: str) -> dict[str, list[str]]:
+    """Names of the input files below a folder, by kind of source."""
+    return {kind: files_at(spark, f"{root.rstrip('/')}/{folder}".rstrip("/"), pattern) or [] for kind, folder, pattern in INPUTS}

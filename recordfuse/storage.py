@@ -53,6 +53,15 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     files.delete(p, True)
 
 
+def files_at(spark: SparkSession, folder: str, pattern: str) -> list[str] | None:
+    """Names of the files of a folder that fit the pattern, sorted; None without the folder."""
+    p, files = _file_system(spark, folder)
+    if not files.exists(p):
+        return None
+    found = files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")) or []
+    return sorted(str(f.getPath().getName()) for f in found)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, outlives executors, is computed once; readers of the table
     prune its columns and know its size."""

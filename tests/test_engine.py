@@ -11,6 +11,7 @@ from recordfuse.operators import graph, layout, linkage, views
 from recordfuse.plans import projection, snapshot
 from recordfuse.plans.pipeline import run
 from recordfuse.schema import completed, value
+from recordfuse.sources import readers
 
 
 def people(spark, rows):
@@ -123,9 +124,51 @@ def test_run(spark, result):
     assert snapshot.read_snapshot(spark, folder, "none") is None and snapshot.write_snapshot(r.candidates, folder, r.run_id, "t") is None
 
 
-def test_missing_source(spark):
-    r = run(spark, {"recruiter_csv": "/nowhere/x.csv"})
-    assert r.candidates is None and r.errors and r.sources_skipped
+def test_sources_that_fail_do_not_end_a_run(spark, result, tmp_path):
+    r, _, inputs = result
+    assert r.sources_processed[2:] == ["recruiter_notes (1 records, 1/1 files)", "resume (2 records, 2/2 files)"]
+
+    def broken(spark, path):
+        raise KeyError(path)
+
+    readers.register_source("github", broken)
+    try:
+        (tmp_path / "none").mkdir()
+        given = {"recruiter_csv": "/nowhere/x.csv", "recruiter_notes": str(tmp_path / "none"), "resume": "/nowhere", "github": "x"}
+        r = run(spark, given)
+        assert r.candidates is None and "github: KeyError" in r.errors and r.errors[-1] == "no records"
+        assert "recruiter_notes (unreadable: no files found)" in r.sources_skipped or "recruiter_notes (empty or missing: no files found)" in r.sources_skipped
+        assert "resume (unreadable: directory missing)" in r.sources_skipped
+    finally:
+        del readers.REGISTRY["github"]
+    for name in ("a.csv", "b.json", "c.md"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / "notes").mkdir()
+    (tmp_path / "notes" / "n.txt").write_text("x")
+    assert readers.list_inputs(spark, str(tmp_path)) == {"recruiter_csv": ["a.csv"], "ats_json": ["b.json"], "recruiter_notes": ["n.txt"], "resume": []}
+
+
+def test_plug_ins(spark):
+    """A recogniser and noun phrases beside the rules: the surest person, skills once each with the most that any layer was sure."""
+    notes = spark.createDataFrame([(1, "n", "Strong on: python and zk proofs\nhello there"), (2, "m", "Candidate: Ann Lee\nnothing")], "rec_idx long, source_id string, text string")
+    found = [("PERSON", "Bo Quist", 0.5), ("PERSON", " Cy Field ", 0.9), ("SKILL", "Python", 0.95), ("SKILL", "zk proofs", 0.6), ("SKILL", "low", 0.1)]
+    listed = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("text"), F.lit(c).alias("score")) for a, b, c in found])
+    plain = {r.rec_idx: r for r in readers.note_records(notes).collect()}
+    readers.register_plugin("ner", lambda c: listed)
+    readers.register_plugin("chunks", lambda c: F.array(F.lit("k8s"), F.lit("python"), F.lit("zk-snark")))
+    readers.register_plugin("language", lambda c: F.lit("sv"))
+    try:
+        got = {r.rec_idx: r for r in readers.note_records(notes).collect()}
+        cv = readers.resume_records(notes).orderBy("rec_idx").collect()
+    finally:
+        for name in ("ner", "chunks", "language"):
+            readers.register_plugin(name, None)
+    assert (got[1].full_name.value, got[1].full_name.method, got[1].full_name.confidence) == ("Cy Field", "ner_gliner", 0.9) and got[2].full_name.value == "Ann Lee"
+    assert [(s.value, s.method, s.confidence) for s in got[1].skills_raw] == [("Python", "ner_gliner", 0.95), ("zk proofs", "ner_gliner", 0.6), ("Kubernetes", "ner_spacy", 0.4)]
+    assert got[1].parse_errors == ["non_english_detected:sv"] and [c.full_name.value for c in cv] == ["Cy Field", "Ann Lee"]
+    assert [s.value for s in plain[1].skills_raw] == ["Python"] and plain[2].full_name.value == "Ann Lee" and 2 in plain
+    with pytest.raises(ValueError):
+        readers.register_plugin("other", None)
 
 
 def test_projection(spark, result):
@@ -135,6 +178,8 @@ def test_projection(spark, result):
     assert good.count() == 2 and bad.count() == c.count() - 2 and bad.first().error.startswith("projection_failed")
     text = [json.loads(x.value) for x in projection.as_json(good.filter("mail = 'karl@x.com'"), "omit").collect()][0]
     assert text["tel"] == "+12125550123" and "none" not in text and text["mail_confidence"] == 0.95 and text["skills"][0] == "JavaScript"
+    snapshot.write_projected(projection.as_json(good.select("mail", "tel")), result[1] + "/projected")
+    assert sorted(json.loads(x.value)["mail"] for x in spark.read.text(result[1] + "/projected").collect()) == ["karl@x.com", "tilda.holm@mail.example"]
     with pytest.raises(ValueError):
         projection.load({"fields": ["name"]})
 
