@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -127,8 +129,21 @@ def _quoted(key: str) -> str:
     return "".join(c if c.isalnum() or c == " " else "\\" + c for c in key)
 
 
-#: Longer keys first, so that the longest that fits is taken.
-PATTERN = r"(?<![a-z0-9_])(" + "|".join(map(_quoted, sorted(KEYS, key=lambda k: (-len(k), k)))) + r")(?![a-z0-9_])"
+def _alternatives(ends: list[str]) -> str:
+    """A pattern for what is left of keys: common beginnings are tried once, and the longest that fits is taken."""
+    heads = sorted({e[0] for e in ends if e})
+    if not heads:
+        return ""
+    tails = [_quoted(h) + _alternatives([e[1:] for e in ends if e[:1] == h]) for h in heads]
+    return "(?:" + "|".join(tails) + ")" + ("?" if "" in ends else "")
+
+
+_LEFT, _RIGHT = r"(?<![a-z0-9_])", r"(?![a-z0-9_])"
+PATTERN = f"{_LEFT}({_alternatives(list(KEYS))}){_RIGHT}"
+#: The same without taking the characters, so that every place where a key begins gives its longest.
+PLACES = f"{_LEFT}(?=({_alternatives(list(KEYS))}){_RIGHT})"
+#: Names of a key and of the shorter ones that fit where it begins.
+BEGINNINGS = {long: [name for key, name in KEYS.items() if re.match(re.escape(key) + _RIGHT, long)] for long in KEYS}
 
 
 def _map() -> Column:
@@ -143,9 +158,9 @@ def find_skills(c: Column) -> Column:
 
 def scan_skills(c: Column) -> Column:
     """Canonical names of all keys that occur, one inside another too, in the dictionary's order."""
-    low = F.lower(c)
-    hits = [F.when(low.rlike(r"(?<![a-z0-9_])" + _quoted(k) + r"(?![a-z0-9_])"), F.lit(v)) for k, v in KEYS.items()]
-    return F.array_distinct(F.array_compact(F.array(*hits)))
+    longest = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(PLACES), F.lit(1)))
+    found = F.flatten(F.transform(longest, lambda k: F.element_at(constant_map(BEGINNINGS), k)))
+    return F.coalesce(F.array_intersect(F.array(*map(F.lit, CANONICAL)), found), F.array().cast("array<string>"))
 
 
 def exact_skill(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,19 +57,18 @@ def section_text(tagged: DataFrame, key: str, *names: str) -> DataFrame:
     return rows.select(key, F.array_join(F.transform("x", lambda r: r.raw), "\n").alias("text"))
 
 
-def tagged_array(text: Column) -> Column:
-    """The same per row, as array<struct<raw, section, tag>>, without a shuffle: for use inside one document."""
-    rows = F.split(text, "\n")
-    start = F.struct(F.lit(None).cast("string").alias("section"), F.array().cast("array<struct<raw:string,section:string,tag:string>>").alias("out"))
-
-    def put(a: Column, raw: Column) -> Column:
-        s = trimmed(raw)
-        head = is_heading(s)
-        section = F.when(head, trimmed(F.regexp_replace(s, ":+$", ""))).otherwise(a["section"])
-        tag = F.when(s == "", "blank").when(head, "heading").otherwise("body")
-        return F.struct(section.alias("section"), F.concat(a["out"], F.array(F.struct(raw.alias("raw"), section.alias("section"), tag.alias("tag")))).alias("out"))
-
-    return F.aggregate(rows, start, put)["out"]
+def lines_under(text: Column, *names: str) -> Column:
+    """The lines under headings of these names (in lower case), without blank ones, as array<string>: for use inside one document,
+    without a shuffle. The work grows with the lines, and texts that hold none of the names are not cut. (No inner function uses an
+    outer one's variable: what is found may be handed to a Python function, which Spark does not take out of such an expression.)"""
+    mark = lambda raw: F.concat(F.when(is_heading(trimmed(raw)), "h").otherwise("b"), raw)
+    pieces = F.split(F.array_join(F.transform(F.split(text, "\n"), mark), "\n"), "\n(?=h)")
+    title = lambda p: trimmed(F.regexp_replace(trimmed(F.substr(F.substring_index(p, "\n", 1), F.lit(2))), ":+$", ""))
+    own = F.filter(pieces, lambda p: p.startswith("h") & F.lower(title(p)).isin(*names))
+    rest = F.flatten(F.transform(own, lambda p: F.slice(F.split(p, "\n"), F.lit(2), F.length(p))))
+    lines = F.filter(F.transform(rest, lambda raw: F.substr(raw, F.lit(2))), lambda raw: trimmed(raw) != "")
+    named = reduce(Column.__or__, [F.lower(text).contains(n) for n in names])
+    return F.when(named, lines).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def page_layout(blocks: DataFrame, page: list[str]) -> DataFrame:

@@ -40,7 +40,13 @@ def no_values() -> Column:
 
 def constant_map(table: dict) -> Column:
     """A map literal, parsed in one step rather than put together entry by entry."""
-    return F.expr("map(" + ", ".join(f"{x!r}" if isinstance(x, str) else f"{x}D" if isinstance(x, float) else str(x) for pair in table.items() for x in pair) + ")")
+
+    def literal(x) -> str:
+        if isinstance(x, list):
+            return "array(" + ", ".join(map(literal, x)) + ")"
+        return f"{x!r}" if isinstance(x, str) else f"{x}D" if isinstance(x, float) else str(x)
+
+    return F.expr("map(" + ", ".join(literal(x) for pair in table.items() for x in pair) + ")")
 
 
 def lookup(source: Column, table: dict, other) -> Column:

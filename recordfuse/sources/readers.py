@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.language import detect_language
 from ..functions.skills import canonical_each, find_skills
-from ..operators.layout import SKILL_SECTIONS, tagged_array
+from ..operators.layout import SKILL_SECTIONS, lines_under
 from ..schema import JOB, VALUE, completed, value
 from ..storage import files_at
 
@@ -132,12 +132,11 @@ def note_skills(text: Column, fuzzy: bool = True, found: Column | None = None, c
     """Skills of the whole text, then of lines under a heading for skills (and such a line as a whole, less sure), then those that a
     recogniser found, as the dictionary knows them or as they stand, then noun phrases that the dictionary knows; each name
     once, where it was first found, with the most that it was sure."""
-    own = F.filter(tagged_array(text), lambda x: F.lower(x.section).isin(*SKILL_SECTIONS) & (x.tag == "body"))
-    lines = F.transform(own, lambda x: F.regexp_replace(t.trimmed(x.raw), "^[-•*▪·–— \t]+", ""))
+    lines = F.transform(lines_under(text, *SKILL_SECTIONS), lambda raw: F.regexp_replace(t.trimmed(raw), "^[-•*▪·–— \t]+", ""))
     parts = F.concat(find_skills(text), F.flatten(F.transform(lines, find_skills)))
     whole = F.array_compact(canonical_each(lines, fuzzy))
-    sure, less = F.array_distinct(parts), F.array_except(whole, parts)
-    out = F.concat(t.as_values(sure, "skill_trie", 0.85), t.as_values(less, "skill_trie", 0.8))
+    both = F.struct(F.array_distinct(parts).alias("sure"), whole.alias("whole"))
+    out = t.bound(both, lambda b: F.concat(t.as_values(b["sure"], "skill_trie", 0.85), t.as_values(F.array_except(b["whole"], b["sure"]), "skill_trie", 0.8)))
     if found is None and chunks is None:
         return out
     more = [out]
@@ -165,10 +164,12 @@ def note_records(notes: DataFrame, compat: bool = False) -> DataFrame:
     if "chunks" in PLUGINS:
         rows, chunks = rows.withColumn("chunks", PLUGINS["chunks"](F.substring("text", 1, CHUNK_CHARS)).cast("array<string>")), F.col("chunks")
     language = PLUGINS.get("language", detect_language)
-    got = rows.select(
-        "rec_idx", "source_id", t.note_name(F.col("text"), found[1], compat).alias("name"), t.as_values(t.emails(F.col("text")), "regex", 0.9).alias("emails"),
+    # The filter below would be evaluated on expressions, not on what they gave, were they columns of a plain projection.
+    once = F.struct(
+        t.note_name(F.col("text"), found[1], compat).alias("name"), t.as_values(t.emails(F.col("text")), "regex", 0.9).alias("emails"),
         t.as_values(t.phones(F.col("text")), "regex", 0.6).alias("phones"), note_skills(F.col("text"), True, found[0], chunks).alias("skills"), language(F.col("text")).alias("lang"),
     )
+    got = rows.select("rec_idx", "source_id", F.inline(F.array(once)))
     got = got.filter("name is not null or size(emails) > 0 or size(phones) > 0 or size(skills) > 0")
     return completed(
         got, source_type=F.lit("recruiter_notes"), source_id=F.col("source_id"), full_name=F.col("name"), emails=F.col("emails"), phones=F.col("phones"), skills_raw=F.col("skills"),

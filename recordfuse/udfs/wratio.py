@@ -10,18 +10,27 @@ def clean(raw: str) -> str:
     return " ".join(re.sub(r"[^a-zA-Z0-9\s+#./]", " ", raw.strip().lower()).split())
 
 
-def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+def _places(s: str) -> dict[str, int]:
+    """For each character the places where it stands, as bits."""
+    out: dict[str, int] = {}
+    for j, y in enumerate(s):
+        out[y] = out.get(y, 0) | 1 << j
+    return out
+
+
+def _common(a: str, places: dict[str, int], n: int) -> int:
+    """Length of the longest common subsequence of ``a`` and a string of length n with these places, a whole row of the table at a
+    time: a bit of ``free`` is 0 where the row's value grows by one."""
+    full = (1 << n) - 1
+    free = full
     for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        hit = free & places.get(x, 0)
+        free = (free + hit | free - hit) & full
+    return n - free.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
-    return 200.0 * _common(a, b) / (len(a) + len(b)) if a or b else 100.0
+    return 200.0 * _common(a, _places(b), len(b)) / (len(a) + len(b)) if a or b else 100.0
 
 
 def partial_ratio(a: str, b: str) -> float:
@@ -29,8 +38,9 @@ def partial_ratio(a: str, b: str) -> float:
     short, long = sorted((a, b), key=len)
     if not short:
         return 0.0
-    n = len(short)
-    return max(ratio(short, long[max(i, 0) : i + n]) for i in range(1 - n, len(long)))
+    n, places = len(short), _places(short)
+    stretches = (long[max(i, 0) : i + n] for i in range(1 - n, len(long)))
+    return max(200.0 * _common(s, places, n) / (n + len(s)) for s in stretches)
 
 
 def _sorted(s: str) -> str:

@@ -1,9 +1,12 @@
 """Scalar functions against tables of (input, expected)."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from recordfuse.functions import dates, names, phones, skills, text
 from recordfuse.functions.language import detect_language
+from recordfuse.operators.layout import lines_under
 from recordfuse.queries import QUERIES
 from recordfuse.sources.readers import note_records, note_skills
 from recordfuse.udfs.wratio import best_match, ratio, wratio
@@ -72,6 +75,21 @@ def test_skills(spark):
     assert values(spark, skills.canonical_skill, ["k8s", " PySpark ", "kuberneties", "zk-snark", "", None]) == ["Kubernetes", "Spark", "Kubernetes", None, None, None]
 
 
+def test_skills_by_shared_beginnings_are_those_of_every_key(spark):
+    notes = [" and ".join(list(skills.KEYS)[i::7]) for i in range(7)] + ["rest api.js, node.js/c++x c++", "ruby on railsx", "REST-API rest api"]
+    alone = lambda k, x: re.search(r"(?<![a-z0-9_])" + re.escape(k) + r"(?![a-z0-9_])", x.lower())
+    want = [[n for n in skills.CANONICAL if any(v == n and alone(k, x) for k, v in skills.KEYS.items())] for x in notes]
+    assert values(spark, skills.scan_skills, [*notes, "", None]) == [*want, [], []]
+    longest = re.compile(r"(?<![a-z0-9_])(?:" + "|".join(map(re.escape, sorted(skills.KEYS, key=len, reverse=True))) + r")(?![a-z0-9_])")
+    assert values(spark, skills.find_skills, notes) == [list(dict.fromkeys(skills.KEYS[k] for k in longest.findall(x.lower()))) for x in notes]
+
+
+def test_lines_under_headings(spark):
+    texts = ["tools\n a\n\n- b\nSkills:\nEducation\nc\nSKILLS\nd", "no headings, skills", "Tools:", "", None]
+    assert values(spark, lambda c: lines_under(c, "skills", "tools"), texts) == [["d"], [], [], [], None]
+    assert values(spark, lambda c: lines_under(c, "skills", "tools"), ["Tools:\n a\n\n- b"]) == [[" a", "- b"]]
+
+
 def test_wratio():
     assert ratio("abc", "abc") == 100 and ratio("", "a") == 0
     assert wratio("machine learning", "learning machine") == 95
