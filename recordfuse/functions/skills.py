@@ -138,10 +138,17 @@ def _alternatives(ends: list[str]) -> str:
     return "(?:" + "|".join(tails) + ")" + ("?" if "" in ends else "")
 
 
+def _dealt(keys: list[str], n: int = 5) -> str:
+    """The same by groups of first letters, so that most words are passed over after a look at each group."""
+    heads = sorted({k[0] for k in keys})
+    groups = [heads[i : i + n] for i in range(0, len(heads), n)]
+    return "(?:" + "|".join(f"(?=[{''.join(map(_quoted, g))}]){_alternatives([k for k in keys if k[0] in g])}" for g in groups) + ")"
+
+
 _LEFT, _RIGHT = r"(?<![a-z0-9_])", r"(?![a-z0-9_])"
-PATTERN = f"{_LEFT}({_alternatives(list(KEYS))}){_RIGHT}"
+PATTERN = f"{_LEFT}({_dealt(list(KEYS))}){_RIGHT}"
 #: The same without taking the characters, so that every place where a key begins gives its longest.
-PLACES = f"{_LEFT}(?=({_alternatives(list(KEYS))}){_RIGHT})"
+PLACES = f"{_LEFT}(?=({_dealt(list(KEYS))}){_RIGHT})"
 #: Names of a key and of the shorter ones that fit where it begins.
 BEGINNINGS = {long: [name for key, name in KEYS.items() if re.match(re.escape(key) + _RIGHT, long)] for long in KEYS}
 
@@ -153,7 +160,7 @@ def _map() -> Column:
 def find_skills(c: Column) -> Column:
     """Canonical names in the order in which the text has them: longest match from the left, without overlap."""
     found = F.regexp_extract_all(F.lower(c), F.lit(PATTERN), F.lit(1))
-    return F.coalesce(F.array_distinct(F.transform(found, lambda k: F.element_at(_map(), k))), F.array().cast("array<string>"))
+    return F.coalesce(F.array_distinct(F.transform(F.array_distinct(found), lambda k: F.element_at(_map(), k))), F.array().cast("array<string>"))
 
 
 def scan_skills(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import titled
-from ..functions.text import trimmed
+from ..functions.text import bound, trimmed
 
 # Words that are headings, and what begins a bullet.
 HEADINGS = (
@@ -67,7 +67,7 @@ def lines_under(text: Column, *names: str) -> Column:
     own = F.filter(pieces, lambda p: p.startswith("h") & F.lower(title(p)).isin(*names))
     rest = F.flatten(F.transform(own, lambda p: F.slice(F.split(p, "\n"), F.lit(2), F.length(p))))
     lines = F.filter(F.transform(rest, lambda raw: F.substr(raw, F.lit(2))), lambda raw: trimmed(raw) != "")
-    named = reduce(Column.__or__, [F.lower(text).contains(n) for n in names])
+    named = bound(F.lower(text), lambda low: reduce(Column.__or__, [low.contains(n) for n in names]))
     return F.when(named, lines).when(text.isNotNull(), F.array().cast("array<string>"))
 
 

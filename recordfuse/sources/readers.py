@@ -128,14 +128,25 @@ def person(found: Column) -> Column:
     return value(t.trimmed(best["text"]), "ner_gliner", best["score"])
 
 
+def skill_parts(text: Column) -> Column:
+    """struct<lines, sure>: the lines under a heading for skills, and the names in the whole text and then in those lines."""
+    def parts(lines: Column) -> Column:
+        return F.struct(lines.alias("lines"), F.array_distinct(F.concat(find_skills(text), F.flatten(F.transform(lines, find_skills)))).alias("sure"))
+
+    lines = F.transform(lines_under(text, *SKILL_SECTIONS), lambda raw: F.regexp_replace(t.trimmed(raw), "^[-•*▪·–— \t]+", ""))
+    return t.bound(lines, parts)
+
+
 def note_skills(text: Column, fuzzy: bool = True, found: Column | None = None, chunks: Column | None = None) -> Column:
+    return skills_of(skill_parts(text), fuzzy, found, chunks)
+
+
+def skills_of(parts: Column, fuzzy: bool = True, found: Column | None = None, chunks: Column | None = None) -> Column:
     """Skills of the whole text, then of lines under a heading for skills (and such a line as a whole, less sure), then those that a
     recogniser found, as the dictionary knows them or as they stand, then noun phrases that the dictionary knows; each name
-    once, where it was first found, with the most that it was sure."""
-    lines = F.transform(lines_under(text, *SKILL_SECTIONS), lambda raw: F.regexp_replace(t.trimmed(raw), "^[-•*▪·–— \t]+", ""))
-    parts = F.concat(find_skills(text), F.flatten(F.transform(lines, find_skills)))
-    whole = F.array_compact(canonical_each(lines, fuzzy))
-    both = F.struct(F.array_distinct(parts).alias("sure"), whole.alias("whole"))
+    once, where it was first found, with the most that it was sure. ``parts`` is what ``skill_parts`` gives, best as a column."""
+    whole = F.array_compact(canonical_each(parts["lines"], fuzzy))
+    both = F.struct(parts["sure"].alias("sure"), whole.alias("whole"))
     out = t.bound(both, lambda b: F.concat(t.as_values(b["sure"], "skill_trie", 0.85), t.as_values(F.array_except(b["whole"], b["sure"]), "skill_trie", 0.8)))
     if found is None and chunks is None:
         return out
@@ -157,19 +168,22 @@ def note_skills(text: Column, fuzzy: bool = True, found: Column | None = None, c
 
 def note_records(notes: DataFrame, compat: bool = False) -> DataFrame:
     """From (rec_idx, source_id, text). Notes in which nothing is found are dropped."""
-    rows = notes.select("rec_idx", "source_id", t.normal_lines(F.col("text")).alias("text")).filter(t.trimmed(F.col("text")) != "")
+    rows = notes.filter(F.col("text").rlike(r"\S")).select("rec_idx", "source_id", t.normal_lines(F.col("text")).alias("text"))
     found, chunks = (F.col("found"), person(F.col("found"))) if "ner" in PLUGINS else (None, None), None
     if "ner" in PLUGINS:
         rows = rows.withColumn("found", entities(F.col("text")))
     if "chunks" in PLUGINS:
         rows, chunks = rows.withColumn("chunks", PLUGINS["chunks"](F.substring("text", 1, CHUNK_CHARS)).cast("array<string>")), F.col("chunks")
     language = PLUGINS.get("language", detect_language)
-    # The filter below would be evaluated on expressions, not on what they gave, were they columns of a plain projection.
+    # Columns of a plain projection would be evaluated again wherever they are used: by Python's arguments and by the filter below.
     once = F.struct(
         t.note_name(F.col("text"), found[1], compat).alias("name"), t.as_values(t.emails(F.col("text")), "regex", 0.9).alias("emails"),
-        t.as_values(t.phones(F.col("text")), "regex", 0.6).alias("phones"), note_skills(F.col("text"), True, found[0], chunks).alias("skills"), language(F.col("text")).alias("lang"),
+        t.as_values(t.phones(F.col("text")), "regex", 0.6).alias("phones"), skill_parts(F.col("text")).alias("parts"), language(F.col("text")).alias("lang"),
     )
-    got = rows.select("rec_idx", "source_id", F.inline(F.array(once)))
+    more = [c for c in ("found", "chunks") if c in rows.columns]
+    got = rows.select("rec_idx", "source_id", *more, F.inline(F.array(once)))
+    skills = F.struct(skills_of(F.col("parts"), True, found[0], chunks).alias("skills"))
+    got = got.select("rec_idx", "source_id", "name", "emails", "phones", "lang", F.inline(F.array(skills)))
     got = got.filter("name is not null or size(emails) > 0 or size(phones) > 0 or size(skills) > 0")
     return completed(
         got, source_type=F.lit("recruiter_notes"), source_id=F.col("source_id"), full_name=F.col("name"), emails=F.col("emails"), phones=F.col("phones"), skills_raw=F.col("skills"),

@@ -142,3 +142,46 @@ def test_location_is_that_of_its_sql(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == dict(con.execute(ORACLE_SQL["x11_location"]).fetchall())
     assert got[0] == "Paris, France" and got[1] == "Doez, Ouhe ci" and got[4] == "Bar, Baz" and got[5] is None
+
+
+def _layers_before(note):
+    """Layers of a note by the plain rules, as they are written down, each on its own."""
+    def lines(x):
+        return [s for s in (re.sub(r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$", "", v) for v in x.split("\n")) if s]
+
+    label = re.search(r"(?im)^\s*(?:name|candidate)\s*[:\-]\s*(.+)$", note)
+    if label and label[1].strip() and not re.match(r"ref\b", label[1].strip().lower()):
+        return label[1].strip()
+    for phrase in text.CONTEXTS:
+        if m := re.search(rf"\b(?i:{phrase}) (?!(?i:ref)\b){text.NAME_WORDS}", note):
+            return m[1]
+    line = (lines(note) or [None])[0]
+    if line and len(line.split()) <= 4 and not re.search("[0-9@]", line) and line[-1] not in ".?!":
+        return line
+    pairs = [m for m in re.findall(text.BIGRAM, note) if m.lower() not in text.BIGRAM_STOPS]
+    return pairs[0] if pairs else None
+
+
+def test_notes_by_the_plain_rules(spark):
+    """Quick ways to e-mails, names and skills against the rules themselves."""
+    notes = [
+        "a@b.com_x@y.zz, @a@b.cc a@@b.de x.y+z@q-r.s.tt_u@v.ww", "a" * 50_000 + " " + "b" * 50_000 + "@c.org", "no mail 1", "\n \t\n  Ann Lee \nx", "\r\nBo Quist\r\n2", "SPOKE WITH Ann Lee. x 1", "i met with ref and Called Bo Zed 5.",
+        "1.\nit was Full Stack and Ada Stone.", "Candidate: ref 5\ncalled Ada", "name - Ida Falk\n1", "12\n34", " \n", "uses go,java;c++c++ c#/sql_ k8s.js",
+    ]
+    rows = spark.createDataFrame([(i, str(i), x) for i, x in enumerate(notes)], "rec_idx long, source_id string, text string")
+    got = {r.rec_idx: r for r in note_records(rows).collect()}
+    for i, note in enumerate(notes):
+        x = re.sub(r"\r\n?", "\n", note)
+        mails = sorted(set(re.findall(text.EMAIL, x))) if len(x) < 1000 else ["b" * 50_000 + "@c.org"]
+        name, known = _layers_before(x), [k for k in dict.fromkeys(skills.KEYS[m] for m in re.findall(skills._LEFT + "(?:" + "|".join(map(re.escape, sorted(skills.KEYS, key=len, reverse=True))) + ")" + skills._RIGHT, x.lower()))]
+        assert (i in got) == bool(name or mails or known), note[:50]
+        if i in got:
+            assert [v.value for v in got[i].emails] == mails and (got[i].full_name and got[i].full_name.value) == name and [v.value for v in got[i].skills_raw] == known, note[:50]
+
+
+def test_note_is_read_once(spark, tmp_path):
+    """Python gets lists that are there already; what finds them in the text is not among its arguments again."""
+    spark.createDataFrame([(1, "Ann Lee")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["s7_note_records"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan()
+    python = [line for line in plan.toString().split("\n") if "ArrowEvalPython" in line]
+    assert len(python) == 1 and "text#" not in python[0]
