@@ -30,7 +30,9 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.lower(F.concat(F.col("first"), F.lit("."), F.col("last"), c.cast("string"), F.lit("@example.com")))
     email = F.when(c % 11 == 0, F.concat(F.lit("team"), F.floor(c / 33).cast("string"), F.lit("@example.com"))).when(c % 5 != 0, own)
     phone = F.when(c % 7 != 0, F.concat(F.lit("(212) 2"), F.lpad((F.floor(c / 2) % 100).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.floor(c / 200) % 10000).cast("string"), 4, "0")))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").withColumns({"first": _pick(FIRST, c % 6), "last": F.concat(_pick(LAST, F.floor(c / 6) % 8), letter(48), letter(1248))})
+    # A customer takes some bytes of a file and makes much work: the few pieces that a file is read in are dealt to all tasks.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").repartition(n, "c_custkey").withColumns({"first": _pick(FIRST, c % 6), "last": F.concat(_pick(LAST, F.floor(c / 6) % 8), letter(48), letter(1248))})
     return rows.select(
         c.alias("c"), F.concat_ws(" ", "first", "last").alias("name"), email.alias("email"), phone.alias("phone"), F.col("c_mktsegment").alias("role"),
         F.concat(F.lit("Corp"), (c % 10).cast("string")).alias("employer"), _pick(STARTS, c % 4).alias("start"), _pick(ENDS, F.floor(c / 4) % 4).alias("end"), _pick(SKILLS, c % 5).alias("skills"),

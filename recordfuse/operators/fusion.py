@@ -19,6 +19,11 @@ from .linkage import email_key
 
 #: Order of fields in provenance; those after it have none.
 FIELDS = ("full_name", "emails", "phones", "headline", "skills", "linkedin", "github", "portfolio", "other", "experience", "education", "source")
+#: The fields that a column of ``merge`` is made of; every cluster has facts of its sources.
+NEEDS = {
+    "full_name": FIELDS[:1], "emails": ("emails",), "phones": ("phones",), "links": ("linkedin", "github", "portfolio", "other"), "skills": ("skills",), "headline": ("headline",),
+    "years_experience": ("experience",), "experience": ("experience",), "education": ("education",), "provenance": FIELDS[:5], "overall_confidence": FIELDS[:5],
+}
 _FACT = "struct<value:string,source:string,method:string,raw:string,confidence:double,job:" + JOB + ",degree:" + DEGREE + ">"
 
 
@@ -33,8 +38,8 @@ def _only(name: str, c: Column) -> Column:
     return F.when(_at(name), c)
 
 
-def _items() -> Column:
-    """All that a record says, as one list."""
+def _items(fields: tuple[str, ...] = FIELDS) -> Column:
+    """All that a record says about the fields, as one list."""
     null = F.lit(None)
 
     def item(field: str, pos, value=null, method=null, confidence=null, job=null, degree=null) -> Column:
@@ -45,27 +50,29 @@ def _items() -> Column:
         return F.coalesce(F.transform(column, made), F.array().cast(f"array<{_ITEM}>"))
 
     zero = F.lit(0)
-    single = [item(n, zero, F.col(f"{n}.value"), F.col(f"{n}.method"), F.col(f"{n}.confidence")) for n in ("full_name", "headline")]
-    single += [item(n, zero, F.col(f"links.{n}")) for n in ("linkedin", "github", "portfolio")] + [item("source", zero, F.col("source_type"))]
+    single = [item(n, zero, F.col(f"{n}.value"), F.col(f"{n}.method"), F.col(f"{n}.confidence")) for n in ("full_name", "headline") if n in fields]
+    single += [item(n, zero, F.col(f"links.{n}")) for n in ("linkedin", "github", "portfolio") if n in fields] + [item("source", zero, F.col("source_type"))]
 
     def found(field: str, column: str) -> Column:
         return listed(column, lambda v, i: item(field, i, v["value"], v["method"], v["confidence"]))
 
-    return F.concat(
-        F.array(*single), found("emails", "emails"), found("phones", "phones"), found("skills", "skills_raw"), listed("links.other", lambda v, i: item("other", i, v)),
-        listed("experience_raw", lambda v, i: item("experience", i, job=v)), listed("education_raw", lambda v, i: item("education", i, degree=v)),
-    )
+    lists = {
+        "emails": found("emails", "emails"), "phones": found("phones", "phones"), "skills": found("skills", "skills_raw"), "other": listed("links.other", lambda v, i: item("other", i, v)),
+        "experience": listed("experience_raw", lambda v, i: item("experience", i, job=v)), "education": listed("education_raw", lambda v, i: item("education", i, degree=v)),
+    }
+    return F.concat(F.array(*single), *[made for n, made in lists.items() if n in fields])
 
 
-def facts(records: DataFrame, clusters: DataFrame, fuzzy: bool = True, parse_dates: bool = True) -> DataFrame:
-    """(cluster_id, field, key, order, fact); ``field`` is a place in ``FIELDS``. Records are read and joined once, and each
-    rule is applied to the rows of its own field only."""
+def facts(records: DataFrame, clusters: DataFrame, fuzzy: bool = True, parse_dates: bool = True, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(cluster_id, field, key, order, fact) of the given fields and of the sources; ``field`` is a place in ``FIELDS``. Records are
+    read and joined once, and each rule is applied to the rows of its own field only."""
     joined = records.join(clusters.select("rec_idx", "cluster_id"), "rec_idx")
-    rows = joined.select("cluster_id", "rec_idx", "source_type", "source_id", F.explode(_items()).alias("f"))
+    rows = joined.select("cluster_id", "rec_idx", "source_type", "source_id", F.explode(_items(fields)).alias("f"))
     src, at, v = F.col("source_type"), F.col("rec_idx"), F.col("f.value")
     skill = _only("skills", v)
+    date = lambda c: normalize_date(c, parse_dates) if "experience" in fields else F.lit(None).cast("string")
     rows = rows.withColumns({
-        "phone": normalize_phone(_only("phones", v)), "start": normalize_date(F.col("f.job.start"), parse_dates), "end": normalize_date(F.col("f.job.end"), parse_dates),
+        "phone": normalize_phone(_only("phones", v)), "start": date(F.col("f.job.start")), "end": date(F.col("f.job.end")),
         "skill": F.coalesce(canonical_skill(skill, fuzzy), none_if_empty(trimmed(skill))),
     })
     pair = lambda a, b: F.nullif(F.concat_ws("\u0001", F.lower(F.coalesce(a, F.lit(""))), F.lower(F.coalesce(b, F.lit("")))), F.lit("\u0001"))
@@ -92,9 +99,11 @@ def facts(records: DataFrame, clusters: DataFrame, fuzzy: bool = True, parse_dat
     return rows.select("cluster_id", F.col("f.field").alias("field"), "key", order.alias("order"), fact.alias("fact"))
 
 
-def merge(records: DataFrame, clusters: DataFrame, as_of: Column | None = None, fuzzy: bool = True, parse_dates: bool = True, foreign: bool = True) -> DataFrame:
-    """The ``candidates``: one row per cluster. Of equal keys the best ranked fact counts, in the place of the first seen."""
-    rows = facts(records, clusters, fuzzy, parse_dates)
+def merge(records: DataFrame, clusters: DataFrame, as_of: Column | None = None, fuzzy: bool = True, parse_dates: bool = True, foreign: bool = True, only: tuple[str, ...] | None = None) -> DataFrame:
+    """The ``candidates``: one row per cluster. Of equal keys the best ranked fact counts, in the place of the first seen. With
+    ``only`` these columns, and facts that none of them is made of are not gathered."""
+    fields = FIELDS if only is None else tuple(f for f in FIELDS if any(f in NEEDS.get(c, ()) for c in only))
+    rows = facts(records, clusters, fuzzy, parse_dates, fields)
     seen = F.min(F.struct(F.col("order.rec").alias("rec"), F.col("order.pos").alias("pos")))
     best = rows.groupBy("cluster_id", "field", "key").agg(seen.alias("seen"), F.min_by("fact", "order").alias("fact"))
     whole = best.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("field", "seen", "key", "fact"))).alias("all"))
@@ -124,6 +133,8 @@ def merge(records: DataFrame, clusters: DataFrame, as_of: Column | None = None,
         "full_name": display_name(F.col("_name"), foreign), "years_experience": F.when(years > 0, F.round(years, 1)),
         "overall_confidence": F.when(F.size("provenance") > 0, F.round(sure, 4)).otherwise(0.0),
     })
+    if only is not None:
+        return out.select(*only)
     return out.select("candidate_id", "full_name", "emails", "phones", "location", "links", "skills", "headline", "years_experience", "experience", "education", "provenance", "overall_confidence", "source_records_merged")
 
 

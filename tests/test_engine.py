@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from recordfuse.operators import graph, layout, linkage, views
+from recordfuse import fixtures
+from recordfuse.operators import fusion, graph, layout, linkage, views
 from recordfuse.plans import projection, snapshot
 from recordfuse.plans.pipeline import run
 from recordfuse.schema import completed, value
@@ -188,3 +189,22 @@ def test_views(result):
     c = result[0].candidates
     assert [r.full_name for r in views.search(c, " KUBER").collect()] == ["Karl Weber"]
     assert views.summary(c, 1, 4).first().n_candidates == c.count()
+
+
+def test_people_of_one_file_are_dealt_and_fused_by_what_is_wanted(spark, tmp_path):
+    spark.range(3000).selectExpr("id as c_custkey", "concat('S', id % 3) as c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    sizes = fixtures.people(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 1500
+    found = fixtures.records(spark, str(tmp_path))
+    whole = fusion.merge(found, fixtures.clusters(found), F.lit("2024-01-01").cast("date"), fuzzy=False)
+    for only in (("candidate_id", "full_name", "emails", "overall_confidence"), ("years_experience", "candidate_id"), ("candidate_id", "source_records_merged", "phones", "skills", "provenance"), ("candidate_id", "links")):
+        part = fusion.merge(found, fixtures.clusters(found), F.lit("2024-01-01").cast("date"), fuzzy=False, only=only)
+        assert part.columns == list(only) and sorted(map(str, part.collect())) == sorted(map(str, whole.select(*only).collect()))
+    kept = fusion.facts(found, fixtures.clusters(found), fuzzy=False, fields=("full_name", "emails"))
+    assert {fusion.FIELDS[r.field] for r in kept.select("field").distinct().collect()} == {"full_name", "emails", "source"}
+
+
+def test_stars_are_told_from_longer_trees(spark):
+    edges = lambda *e: spark.createDataFrame(list(e), "u long, v long")
+    assert graph._stars(edges((2, 1), (3, 1), (5, 4))) and graph._stars(edges((2, 1)).filter("u < 0"))
+    assert not graph._stars(edges((2, 1), (3, 2))) and not graph._stars(edges((3, 1), (3, 2)))
